@@ -1,0 +1,17 @@
+"""Broadcasting only what has been counted."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+FEW_ROWS = 10_000
+
+
+def few_rows(df: DataFrame, bound: int = FEW_ROWS) -> bool:
+    """Whether `df` has at most `bound` rows.
+
+    `take` reads partitions a few at a time and stops at the bound, so asking
+    this of a large table costs one or two tasks.
+    """
+    return len(df.select(F.lit(1)).take(bound + 1)) <= bound
