@@ -6,6 +6,8 @@ The `to_*` forms stop the job on a bad value, with or without ANSI mode. The
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,7 +27,17 @@ def to_varchar(col: Column, n: int) -> Column:
     )
 
 
+# The widest decimal there is.
+_WIDEST = 38
+
+
 def fits_type(col: Column, target: T.DataType) -> Column:
+    if isinstance(target, T.DecimalType) and target.precision < _WIDEST:
+        # Comparing a wide decimal is far cheaper than catching an overflow
+        # per bad value.
+        wide = col.try_cast(T.DecimalType(_WIDEST, target.scale))
+        bound = F.lit(Decimal(10) ** (target.precision - target.scale))
+        return col.isNull() | F.coalesce(F.abs(wide) < bound, F.lit(False))
     return col.isNull() | col.try_cast(target).isNotNull()
 
 

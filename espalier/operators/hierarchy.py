@@ -46,6 +46,10 @@ class Level:
     def parents(self) -> tuple[str, ...]:
         return names(self.parent_key)
 
+# Spark's size estimate is exact for one table and good enough for two; from
+# three ancestors on they are counted.
+_COUNT_FROM = 3
+
 
 def _ref(name: str) -> Column:
     return F.col(f"`{name}`")
@@ -217,6 +221,8 @@ class Hierarchy:
     def _above(self, at: int) -> DataFrame:
         """The ancestors of the level at `at`, marked for broadcast if few."""
         chain = self._down_to(at - 1)
+        if at < _COUNT_FROM:
+            return chain
         if at not in self._few:
             # Levels grow downwards, so the first large one ends the counting.
             self._few[at] = self._few.get(at - 1, True) and few_rows(chain)

@@ -34,7 +34,7 @@ from espalier.operators.search import (
 from espalier.operators.similarity import similarity_join, similarity_self_join
 from espalier.plans.star import EVENT, PRIORITY, STAR, sales, table
 from espalier.sources.ingest import append_rows, conform, register, scan, write_table
-from espalier.sources.layout import write_clustered, write_subset
+from espalier.sources.layout import spread, write_clustered, write_subset
 from espalier.sources.publish import publish, read_published
 from espalier.spec import ABSENT
 from espalier.spec import Column as Declared
@@ -758,7 +758,8 @@ def _sql_wanted(text: str) -> str:
 
 @query(f"SELECT doc_id, CAST(len({sql_trigrams('text')}) AS INTEGER) AS n_trigrams FROM documents")
 def trigram_count(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", F.size(trigrams(F.col("text"))).alias("n_trigrams"))
+    texts = spread(table(spark, folder, "documents").select("doc_id", "text"))
+    return texts.select("doc_id", F.size(trigrams(F.col("text"))).alias("n_trigrams"))
 
 
 @query(

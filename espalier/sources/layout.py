@@ -35,3 +35,13 @@ def write_clustered(
 def write_subset(df: DataFrame, predicate: Column, path: str) -> None:
     """Keep the rows that satisfy `predicate` as a table of their own."""
     df.filter(predicate).write.mode("overwrite").parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan at least as many partitions as there are cores.
+
+    For work that is heavy on CPU per row over a table kept in few files. A
+    table with enough splits of its own is left as it is, without an exchange.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
