@@ -15,6 +15,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+import espalier.plans.catalog_workload  # noqa: E402, F401  (registers its queries)
 from espalier.plans.workload import QUERIES  # noqa: E402
 from espalier.session import build_session  # noqa: E402
 
