@@ -15,6 +15,7 @@ chain: the first one, in order, that isn't extended.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -31,6 +32,75 @@ _NEXT = ","
 _END = "."
 
 
+@dataclass(frozen=True)
+class SimilarSets:
+    """Similar titles in compact form.
+
+    `members` maps each title to its set (`side, set, title`); `pairs` holds the
+    pairs of different sets (`l_set, r_set, shared, combined`). Titles of one set
+    (reordered words, other case or punctuation) are similar by themselves and
+    stay a group here; `titles` spells all pairs out.
+    """
+
+    members: DataFrame
+    pairs: DataFrame
+    two_sided: bool
+
+    def titles(self) -> DataFrame:
+        """`left_title, right_title, shared, combined`. Within one table, each
+        unordered pair once, `left_title` being the lesser title."""
+        l_side, r_side = (1, 2) if self.two_sided else (1, 1)
+        left = self.members.filter(F.col("side") == l_side).alias("l")
+        right = self.members.filter(F.col("side") == r_side).alias("r")
+        across = (
+            self.pairs.join(left, F.col("l_set") == F.col("l.set"))
+            .join(right, F.col("r_set") == F.col("r.set"))
+            .select("l.title", F.col("r.title").alias("other"), "shared", "combined")
+        )
+        inside = left.join(right, F.col("l.set") == F.col("r.set"))
+        if not self.two_sided:
+            across = across.select(
+                F.least("title", "other").alias("title"),
+                F.greatest("title", "other").alias("other"),
+                "shared",
+                "combined",
+            )
+            inside = inside.filter(F.col("l.title") < F.col("r.title"))
+        size = F.size("l.tokens")
+        same = inside.select(
+            "l.title", F.col("r.title").alias("other"), size.alias("shared"), size.alias("combined")
+        )
+        return across.unionByName(same).withColumnsRenamed({"title": "left_title", "other": "right_title"})
+
+
+def similar_sets(
+    left: DataFrame,
+    right: DataFrame | None,
+    column: str,
+    threshold: Threshold = Threshold(),
+    crowd: int = CROWD,
+) -> SimilarSets:
+    """Similar titles of two tables, or of one if `right` is None. `crowd` only
+    steers the work; the result is the same for any value."""
+    titles = _titles(left, column, 1)
+    if right is not None:
+        titles = titles.unionByName(_titles(right, column, 2))
+    titles = materialize(titles, "titles")
+    sets = _ordered_sets(titles)
+    signatures = _signatures(sets, threshold, crowd)
+    if right is None:
+        pairs = _meet(signatures, signatures, sets, F.col("l.id") < F.col("r.id"), threshold)
+    else:
+        pairs = _meet(
+            signatures.filter(F.col("sides").bitwiseAND(1) > 0),
+            signatures.filter(F.col("sides").bitwiseAND(2) > 0),
+            sets,
+            F.col("l.id") != F.col("r.id"),
+            threshold,
+        )
+    return SimilarSets(titles, pairs, right is not None)
+
+
 def similarity_join(
     left: DataFrame,
     right: DataFrame,
@@ -39,61 +109,23 @@ def similarity_join(
     crowd: int = CROWD,
 ) -> DataFrame:
     """Pairs of distinct titles, one from each side, that reach `threshold`:
-    `left_title, right_title, shared, combined`. `crowd` only steers the work;
-    the result is the same for any value."""
-    marked = _titles(left, column, 1).unionByName(_titles(right, column, 2))
-    titles = materialize(marked, "titles")
-    sets = _ordered_sets(titles)
-    signatures = _signatures(sets, threshold, crowd)
-    pairs = _meet(
-        signatures.filter(F.col("sides").bitwiseAND(1) > 0),
-        signatures.filter(F.col("sides").bitwiseAND(2) > 0),
-        sets,
-        F.col("l.id") != F.col("r.id"),
-        threshold,
-    )
-    both = sets.filter(F.col("sides") == 3)
-    same = both.select(
-        F.col("set").alias("l_set"),
-        F.col("set").alias("r_set"),
-        F.col("size").alias("shared"),
-        F.col("size").alias("combined"),
-    )
-    return _with_titles(pairs.unionByName(same), titles.filter("side = 1"), titles.filter("side = 2"))
+    `left_title, right_title, shared, combined`."""
+    return similar_sets(left, right, column, threshold, crowd).titles()
 
 
 def similarity_self_join(
     df: DataFrame, column: str, threshold: Threshold = Threshold(), crowd: int = CROWD
 ) -> DataFrame:
-    """Unordered pairs of different titles of one table, `left_title` being the
-    lesser one."""
-    titles = materialize(_titles(df, column, 1), "titles")
-    sets = _ordered_sets(titles)
-    signatures = _signatures(sets, threshold, crowd)
-    pairs = _meet(signatures, signatures, sets, F.col("l.id") < F.col("r.id"), threshold)
-    across = _with_titles(pairs, titles, titles)
-    across = across.select(
-        F.least("left_title", "right_title").alias("left_title"),
-        F.greatest("left_title", "right_title").alias("right_title"),
-        "shared",
-        "combined",
-    )
-    # Different titles with one and the same set, such as reordered words.
-    a, b = titles.alias("a"), titles.alias("b")
-    same = a.join(b, (F.col("a.set") == F.col("b.set")) & (F.col("a.title") < F.col("b.title"))).select(
-        F.col("a.title").alias("left_title"),
-        F.col("b.title").alias("right_title"),
-        F.size("a.tokens").alias("shared"),
-        F.size("a.tokens").alias("combined"),
-    )
-    return across.unionByName(same)
+    """Unordered pairs of different titles of one table."""
+    return similar_sets(df, None, column, threshold, crowd).titles()
 
 
 def _titles(df: DataFrame, column: str, side: int) -> DataFrame:
     """Distinct titles with their set and a 128-bit name for the set."""
     distinct = df.select(F.col(f"`{column}`").alias("title")).filter(F.col("title").isNotNull()).distinct()
     sets = distinct.withColumn("tokens", F.sort_array(codes(trigrams(F.col("title")))))
-    named = sets.withColumn("set", F.unhex(F.md5(F.to_json("tokens"))))
+    # An empty set is similar to nothing.
+    named = sets.filter(F.size("tokens") > 0).withColumn("set", F.unhex(F.md5(F.to_json("tokens"))))
     return named.withColumn("side", F.lit(side))
 
 
@@ -229,13 +261,3 @@ def _meet(
     return judged.filter(first & threshold.reached(F.col("shared"), F.col("combined"))).select(
         "l_set", "r_set", "shared", "combined"
     )
-
-
-def _with_titles(pairs: DataFrame, l_titles: DataFrame, r_titles: DataFrame) -> DataFrame:
-    l_names = l_titles.select(F.col("set").alias("l_set"), F.col("title").alias("left_title"))
-    r_names = r_titles.select(F.col("set").alias("r_set"), F.col("title").alias("right_title"))
-    return (
-        pairs.join(l_names, "l_set")
-        .join(r_names, "r_set")
-        .select("left_title", "right_title", "shared", "combined")
-    )

@@ -34,7 +34,7 @@ from espalier.operators.search import (
 from espalier.operators.similarity import similarity_join, similarity_self_join
 from espalier.plans.star import EVENT, PRIORITY, STAR, sales, table
 from espalier.sources.ingest import append_rows, conform, register, scan, write_table
-from espalier.sources.layout import spread, write_clustered, write_subset
+from espalier.sources.layout import spread, write_bucketed, write_clustered, write_subset
 from espalier.sources.publish import publish, read_published
 from espalier.spec import ABSENT
 from espalier.spec import Column as Declared
@@ -615,6 +615,24 @@ def lookup_after_clustering(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("o_orderkey", "o_orderstatus", "o_totalprice")
 
 
+@query(
+    """
+    SELECT o_orderkey, CAST(count(*) AS BIGINT) AS n_lines FROM orders JOIN lineitem ON l_orderkey = o_orderkey
+    GROUP BY o_orderkey
+    """
+)
+def bucketed_children(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders and lines share buckets on the order key: no exchange for the join
+    or the count."""
+    orders, lines = table(spark, folder, "orders"), table(spark, folder, "lineitem")
+    path = _stored(orders, "bucketed")
+    tag = path.rsplit("-", 1)[1]
+    orders = write_bucketed(orders, f"orders_{tag}", f"{path}/orders", "o_orderkey", 16)
+    lines = write_bucketed(lines, f"lines_{tag}", f"{path}/lines", "l_orderkey", 16)
+    joined = lines.hint("merge").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    return joined.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem WHERE l_returnflag = 'R'")
 def flagged_subset(spark: SparkSession, folder: str) -> DataFrame:
     lines = table(spark, folder, "lineitem")

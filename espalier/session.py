@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
-def build_session(app: str = "espalier", cores: str | int = "*", partitions: int = 8) -> SparkSession:
+def build_session(
+    app: str = "espalier", cores: str | int = "*", partitions: int = 8, shared: str | None = None
+) -> SparkSession:
     """A local session for tests and benches; a cluster brings its own."""
-    spark = (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
@@ -16,8 +18,10 @@ def build_session(app: str = "espalier", cores: str | int = "*", partitions: int
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .getOrCreate()
     )
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return pin(spark)
 

@@ -32,6 +32,21 @@ def write_clustered(
     writer.parquet(path)
 
 
+def write_bucketed(df: DataFrame, name: str, path: str, by: str | Iterable[str], buckets: int) -> DataFrame:
+    """Save `df` as the table `name`, hashed and sorted by a key into buckets.
+
+    Parent and child saved with the same number of buckets on the linking key
+    join without an exchange, however often. For evenly used keys only: a
+    bucket can't be split, so a key with a large share of the rows belongs in
+    `write_clustered`.
+    """
+    keys = names(by)
+    spread = df.repartition(buckets, *keys)
+    writer = spread.write.mode("overwrite").format("parquet").option("path", path)
+    writer.bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def write_subset(df: DataFrame, predicate: Column, path: str) -> None:
     """Keep the rows that satisfy `predicate` as a table of their own."""
     df.filter(predicate).write.mode("overwrite").parquet(path)
