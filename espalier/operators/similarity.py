@@ -241,6 +241,8 @@ def _meet(
             F.col("l.length").alias("length"),
             F.col("l.ended").alias("ended"),
         )
+        # Some chains bring far more candidates than others: even them out.
+        .hint("rebalance")
     )
     l_sets = sets.select(F.col("id").alias("l_id"), F.col("set").alias("l_set"), F.col("tokens").alias("l_tokens"))
     r_sets = sets.select(F.col("id").alias("r_id"), F.col("set").alias("r_set"), F.col("tokens").alias("r_tokens"))
