@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from espalier.operators.keys import assign_keys
 from espalier.plans.catalog import CATEGORY, DELIVERY, FREQUENCY, IMPORTANCE, Catalog, catalog_specs
 from espalier.plans.star import table
-from espalier.plans.workload import query
+from espalier.plans.workload import query, sql_audit_lines
 from espalier.sources.ingest import conform
 from espalier.spec import Domain
 
@@ -203,10 +203,52 @@ def catalog_summary(spark: SparkSession, folder: str) -> DataFrame:
     return derive(spark, folder).subject_summary().withColumn("credits", F.col("credits").cast("double"))
 
 
-@query()
+_SQL_TABLES = f"""
+    WITH {_COURSE}, {_UNIT}, {_TOPIC},
+    branches AS (
+      SELECT r_name AS id, 'R' || r_regionkey AS code, 'Faculty of ' || r_name AS name, 'Example University' AS university,
+             'B.Tech' AS degree, '2024-25' AS effective_session, now() AS created_at
+      FROM region WHERE r_name <> 'ASIA'),
+    semesters AS (
+      SELECT n_nationkey AS id, r_name AS branch_id, {_SEMESTER} AS semester_number,
+             n_nationkey // 10 + 1 AS year_number, n_name AS academic_title
+      FROM nation JOIN region ON r_regionkey = n_regionkey),
+    courses AS (
+      SELECT course AS id, c_nationkey AS semester_id, r_name AS branch_id, course_code, course_title, category,
+             delivery_type, credits, 30 AS ia_marks, 70 AS ete_marks, 100 AS total_marks, now() AS created_at
+      FROM course JOIN customer ON c_custkey = course JOIN nation ON n_nationkey = c_nationkey
+      JOIN region ON r_regionkey = n_regionkey),
+    course_units AS (
+      SELECT unit AS id, course AS course_id, unit AS unit_number, o_orderstatus AS unit_title, unit % 12 AS lecture_hours
+      FROM unit),
+    topics AS (
+      SELECT row_number() OVER () AS id, unit AS unit_id, topic_title, importance_level, exam_frequency,
+             now() AS created_at
+      FROM topic WHERE unit IN (SELECT unit FROM unit)),
+    lab_experiments AS (
+      SELECT o_orderkey AS id, o_custkey AS course_id, o_orderkey AS experiment_number,
+             'Experiment ' || o_orderkey AS title, o_orderstatus AS description, NULL::VARCHAR AS tools_used
+      FROM orders WHERE o_orderpriority = '5-LOW'),
+    recommended_books AS (
+      SELECT o_orderkey AS id, o_custkey AS course_id,
+             CASE WHEN o_orderkey % 2 = 0 THEN 'TEXT_BOOK' ELSE 'REFERENCE_BOOK' END AS book_type,
+             'Volume ' || o_orderkey AS title, NULL::VARCHAR AS authors, NULL::VARCHAR AS publisher,
+             NULL::VARCHAR AS edition_year
+      FROM orders WHERE o_orderpriority = '2-HIGH'),
+    open_electives AS (
+      SELECT p_partkey AS id, p_size AS semester_number, p_type AS elective_group, 'P' || p_partkey AS subject_code,
+             p_name AS title, p_brand AS department
+      FROM part WHERE p_size IN (7, 8))
+"""
+
+
+@query(_SQL_TABLES + "\nUNION ALL\n".join(line for spec in SPECS.values() for line in sql_audit_lines(spec)))
 def catalog_audit(spark: SparkSession, folder: str) -> DataFrame:
-    """Every constraint of the eight tables; all counts are zero."""
-    return derive(spark, folder).audit()
+    """Every constraint of the eight tables after one branch was removed without
+    its dependants: only the two keys that point to it are broken."""
+    whole = derive(spark, folder)
+    left = whole.tables["branches"].filter(F.col("id") != "ASIA")
+    return Catalog({**whole.tables, "branches": left}, SPECS).audit()
 
 
 @query(

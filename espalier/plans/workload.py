@@ -423,13 +423,19 @@ def _star(spark: SparkSession, folder: str, *names: str) -> tuple[dict[str, Data
 
 def _sql_audit(*names: str) -> str:
     """Every declared constraint of the named tables as SQL, one SELECT each."""
-    return "\nUNION ALL\n".join(line for n in names for line in _sql_audit_lines(STAR[n]))
+    return "\nUNION ALL\n".join(line for n in names for line in sql_audit_lines(STAR[n]))
 
 
-_SQL_CHECKS = {"p_size 1..8": "p_size NOT BETWEEN 1 AND 8", "p_type listed": "p_type NOT IN ('ECONOMY', 'SMALL')"}
+_SQL_CHECKS = {
+    "p_size 1..8": "p_size NOT BETWEEN 1 AND 8",
+    "p_type listed": "p_type NOT IN ('ECONOMY', 'SMALL')",
+    "semester_number 1..8": "semester_number NOT BETWEEN 1 AND 8",
+    "year_number 1..4": "year_number NOT BETWEEN 1 AND 4",
+    "semester_number 7 or 8": "semester_number NOT IN (7, 8)",
+}
 
 
-def _sql_audit_lines(spec: TableSpec) -> list[str]:
+def sql_audit_lines(spec: TableSpec) -> list[str]:
     def line(constraint: str, kind: str, where: str) -> str:
         return (
             f"SELECT '{spec.name}' AS \"table\", '{constraint}' AS \"constraint\", '{kind}' AS kind, "

@@ -2,9 +2,10 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_point
-from espalier.plans.catalog import catalog_specs
+from espalier.plans.catalog import Catalog, catalog_specs
 from espalier.plans.catalog_workload import derive
 
 FOLDER = "/root/testdata/sf0.001"
@@ -35,13 +36,18 @@ def test_entry(spark):
     assert entry_point.entry(spark).count() > 0
 
 
-def test_catalog_audit_is_clean_and_complete(spark):
-    specs = catalog_specs("u")
-    report = entry_point.queries()["catalog_audit"](spark, FOLDER).collect()
-    assert {r.table for r in report} == set(specs) and all(r.n_violations == 0 for r in report)
+def test_derived_catalog_is_clean_and_fully_checked(spark):
+    report = derive(spark, FOLDER).audit().collect()
+    assert {r.table for r in report} == set(catalog_specs("u")) and all(r.n_violations == 0 for r in report)
     assert len({(r.table, r.constraint, r.kind) for r in report}) == len(report)
 
 
+def test_cascade_leaves_a_clean_catalog(spark):
+    catalog = derive(spark, FOLDER)
+    left = catalog.without_branches(F.col("id") == "ASIA", durable=True).surviving
+    assert Catalog({**catalog.tables, **left}, catalog.specs).audit().filter("n_violations > 0").count() == 0
+
+
 def test_catalog_views_sort_and_keep_zeros(spark):
     catalog = derive(spark, FOLDER)
     got = [(r.branch, r.sem, r.course_code) for r in catalog.subject_summary(ordered=True).collect()]
