@@ -39,11 +39,14 @@ HEADLINE = [
     "publish_audit",
     "trigram_count",
     "fuzzy_titles",
+    "fuzzy_texts",
     "fuzzy_titles_indexed",
     "pattern_titles",
     "title_postings",
     "similar_titles",
     "similar_long_titles",
+    "catalog_summary",
+    "catalog_cascade",
 ]
 
 

@@ -52,6 +52,7 @@ def cascade_delete(
     """
     deleted: dict[str, DataFrame] = {}
     surviving: dict[str, DataFrame] = {}
+    doomed: dict[tuple[str, tuple[str, ...]], DataFrame] = {}
     graph = {child: {k.parent for k in keys} for child, keys in foreign_keys.items()}
     for name in TopologicalSorter(graph).static_order():
         if name == root:
@@ -61,29 +62,29 @@ def cascade_delete(
             live = [k for k in foreign_keys.get(name, ()) if k.parent in deleted]
             if not live:
                 continue
-            marked = _mark(tables[name], live, deleted, durable)
+            for key in live:
+                target = (key.parent, key.parent_columns)
+                if target not in doomed:
+                    keys = deleted[key.parent].select(*[f"`{c}`" for c in key.parent_columns]).distinct()
+                    doomed[target] = materialize(keys, f"cascade-{key.parent}") if durable else keys
+            marked = _mark(tables[name], [(k, doomed[k.parent, k.parent_columns]) for k in live])
         deleted[name] = marked.filter(_DOOMED).drop(_DOOMED)
         surviving[name] = marked.filter(~F.col(_DOOMED)).drop(_DOOMED)
     return Cascade(deleted, surviving)
 
 
-def _mark(
-    df: DataFrame, keys: Sequence[ForeignKey], deleted: dict[str, DataFrame], durable: bool
-) -> DataFrame:
+def _mark(df: DataFrame, doomed: Sequence[tuple[ForeignKey, DataFrame]]) -> DataFrame:
     flags = []
-    for i, key in enumerate(keys):
+    for i, (key, keys) in enumerate(doomed):
         flag = f"__gone{i}"
-        doomed = (
-            deleted[key.parent]
-            .select(*[F.col(f"`{p}`").alias(f"__d{i}_{j}") for j, p in enumerate(key.parent_columns)])
-            .distinct()
+        gone_keys = keys.select(
+            *[F.col(f"`{p}`").alias(f"__d{i}_{j}") for j, p in enumerate(key.parent_columns)],
+            F.lit(True).alias(flag),
         )
-        if durable:
-            doomed = materialize(doomed, f"cascade-{key.parent}")
         match = [F.col(f"`{c}`") == F.col(f"__d{i}_{j}") for j, c in enumerate(key.columns)]
-        df = df.join(doomed.withColumn(flag, F.lit(True)), match, "left").drop(
+        df = df.join(gone_keys, match, "left").drop(
             *[f"__d{i}_{j}" for j in range(len(key.columns))]
         )
         flags.append(F.coalesce(F.col(flag), F.lit(False)))
     gone = reduce(lambda a, b: a | b, flags)
-    return df.withColumn(_DOOMED, gone).drop(*[f"__gone{i}" for i in range(len(keys))])
+    return df.withColumn(_DOOMED, gone).drop(*[f"__gone{i}" for i in range(len(doomed))])

@@ -147,10 +147,10 @@ def duplicate_keys(df: DataFrame, columns: str | Iterable[str]) -> DataFrame:
 
 
 def _orphan_counts(child: DataFrame, columns: Sequence[str], parent: DataFrame, parent_columns: Sequence[str]) -> DataFrame:
-    """Key values without a parent. Counted per value first, so the join sees
-    each value once however often the child repeats it."""
+    """Key values without a parent. Both sides are reduced to one row per value
+    first, so the join sees each once, however often child or parent repeat it."""
     used = key_counts(child.filter(~_any_null(columns)), columns)
-    known = parent.select(*[_c(p).alias(f"__p{i}") for i, p in enumerate(parent_columns)])
+    known = parent.select(*[_c(p).alias(f"__p{i}") for i, p in enumerate(parent_columns)]).distinct()
     match = [_c(c) == F.col(f"__p{i}") for i, c in enumerate(columns)]
     return used.join(known, match, "left_anti")
 

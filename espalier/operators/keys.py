@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from espalier.durable import materialize
+from espalier.functions.rowhash import row_hash
 from espalier.spec import names
 
+_TIE = "__tie"
 _SLOT = "__slot"
 _CHUNK = "__chunk"
 _BEFORE = "__before"
@@ -33,15 +35,18 @@ def assign_keys(
     Rows are range-partitioned on all of `order_by`, sorted, and stored in the
     shared folder with their place; the stored copy makes the second pass see
     the very rows the first one counted. Only one row count per partition
-    reaches the driver. For repeatable ids `order_by` must tell all rows apart;
-    it also decides how evenly the ranges split.
+    reaches the driver. Rows that `order_by` doesn't tell apart are ordered by a
+    hash of the whole row, which keeps ids repeatable and lets one value with
+    many rows take several ranges.
     """
     spark = df.sparkSession
     count = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col(f"`{c}`").asc_nulls_last() for c in names(order_by)]
+    order = [*[F.col(f"`{c}`").asc_nulls_last() for c in names(order_by)], F.col(_TIE)]
     placed = materialize(
-        df.repartitionByRange(count, *order)
+        df.withColumn(_TIE, row_hash(df))
+        .repartitionByRange(count, *order)
         .sortWithinPartitions(*order)
+        .drop(_TIE)
         .withColumn(_SLOT, F.monotonically_increasing_id()),
         "keys",
     ).withColumn(_CHUNK, F.shiftright(_SLOT, _POSITION_BITS))

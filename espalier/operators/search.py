@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from espalier.functions.once import with_once
 from espalier.functions.trigram import Threshold, combined, shared, trigrams
 
 
@@ -25,12 +26,13 @@ def fuzzy_search(
     """
     wanted = _constant(df.sparkSession, trigrams(F.lit(text)))
     target = F.array(*[F.lit(t) for t in wanted]).cast("array<string>")
-    own = trigrams(F.col(f"`{column}`"))
-    common = shared(own, target)
+    own = F.col("__own")
+    sets = with_once(df, __own=trigrams(F.col(f"`{column}`")))
+    counted = with_once(sets, shared=shared(own, target))
     return (
-        df.withColumn("shared", common)
-        .withColumn("combined", combined(own, target, F.col("shared")))
+        counted.withColumn("combined", combined(own, target, F.col("shared")))
         .filter(threshold.reached(F.col("shared"), F.col("combined")))
+        .drop("__own")
     )
 
 

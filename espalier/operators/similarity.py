@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from espalier.durable import materialize
+from espalier.functions.once import with_once
 from espalier.functions.trigram import Threshold, codes, shared, trigrams
 
 CROWD = 5_000
@@ -123,7 +124,7 @@ def similarity_self_join(
 def _titles(df: DataFrame, column: str, side: int) -> DataFrame:
     """Distinct titles with their set and a 128-bit name for the set."""
     distinct = df.select(F.col(f"`{column}`").alias("title")).filter(F.col("title").isNotNull()).distinct()
-    sets = distinct.withColumn("tokens", F.sort_array(codes(trigrams(F.col("title")))))
+    sets = with_once(distinct, tokens=F.sort_array(codes(trigrams(F.col("title")))))
     # An empty set is similar to nothing.
     named = sets.filter(F.size("tokens") > 0).withColumn("set", F.unhex(F.md5(F.to_json("tokens"))))
     return named.withColumn("side", F.lit(side))
@@ -253,13 +254,11 @@ def _meet(
         F.slice("l_tokens", 1, F.col("l_pos") + 1),
         F.slice("r_tokens", 1, F.col("r_pos") + 1),
     )
-    judged = (
-        candidates.join(l_sets, "l_id")
-        .join(r_sets, "r_id")
-        .withColumn("shared", common)
-        .withColumn("combined", F.size("l_tokens") + F.size("r_tokens") - F.col("shared"))
+    met = candidates.join(l_sets, "l_id").join(r_sets, "r_id")
+    judged = with_once(met, shared=common, until=until).withColumn(
+        "combined", F.size("l_tokens") + F.size("r_tokens") - F.col("shared")
     )
-    first = (until == F.col("length")) & (~F.col("ended") | (F.col("shared") == F.col("length")))
+    first = (F.col("until") == F.col("length")) & (~F.col("ended") | (F.col("shared") == F.col("length")))
     return judged.filter(first & threshold.reached(F.col("shared"), F.col("combined"))).select(
         "l_set", "r_set", "shared", "combined"
     )

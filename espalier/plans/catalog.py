@@ -211,10 +211,10 @@ class Catalog:
         chain = [("branches", None), ("semesters", "branch_id"), ("courses", "semester_id"), *below]
         return Hierarchy([Level(name, self.tables[name], "id", up) for name, up in chain])
 
-    def _outline_tree(self) -> Hierarchy:
+    def _topic_tree(self) -> Hierarchy:
         return self._tree(("course_units", "course_id"), ("topics", "unit_id"))
 
-    def all_syllabus(self, ordered: bool = False) -> DataFrame:
+    def outline(self, ordered: bool = False) -> DataFrame:
         """Every topic in its place; a unit without topics gives one row, a
         course without units none."""
         order = ["branches.id", "semesters.semester_number", "courses.course_code"]
@@ -239,7 +239,7 @@ class Catalog:
             exam_frequency="topics",
         )
         columns[self.tips] = f"topics.{self.tips}"
-        return self._outline_tree().full(columns, order if ordered else ())
+        return self._topic_tree().full(columns, order if ordered else ())
 
     def high_yield_topics(self, ordered: bool = False) -> DataFrame:
         """Topics flagged as high-yield, with their key concepts."""
@@ -258,7 +258,7 @@ class Catalog:
         columns[self.tips] = f"topics.{self.tips}"
         columns["key_concepts"] = "topics.key_concepts"
         flagged: SparkColumn = F.col("is_high_yield")
-        return self._outline_tree().flagged(flagged, columns, order if ordered else ())
+        return self._topic_tree().flagged(flagged, columns, order if ordered else ())
 
     def lab_curriculum(self, ordered: bool = False) -> DataFrame:
         """Every experiment with its course and branch."""
@@ -297,7 +297,7 @@ class Catalog:
             "topics": "total_topics",
             "flag": "high_yield_topics_count",
         }
-        return self._outline_tree().summary(
+        return self._topic_tree().summary(
             "courses", F.col("is_high_yield"), columns, counts, order if ordered else (), merge_equal=True
         )
 

@@ -153,8 +153,8 @@ _TOPIC = f"""
     FROM unit u JOIN course USING (course) LEFT JOIN topic t ON t.unit = u.unit
     """
 )
-def catalog_all_syllabus(spark: SparkSession, folder: str) -> DataFrame:
-    rows = derive(spark, folder).all_syllabus(ordered=True)
+def catalog_outline(spark: SparkSession, folder: str) -> DataFrame:
+    rows = derive(spark, folder).outline(ordered=True)
     return rows.withColumns({"credits": F.col("credits").cast("double"), "is_high_yield": F.col("is_high_yield").cast("string")})
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from espalier.durable import fresh_path
+from espalier.functions.once import with_once
 from espalier.functions.timeutil import to_utc
 from espalier.functions.trigram import Threshold, combined, ratio, shared, trigrams
 from espalier.functions.types import to_numeric, to_varchar
@@ -797,11 +798,13 @@ def trigram_count(spark: SparkSession, folder: str) -> DataFrame:
 )
 def trigram_similarity(spark: SparkSession, folder: str) -> DataFrame:
     names = table(spark, folder, "part").select("p_name").distinct()
-    own, other = trigrams(F.col("p_name")), trigrams(F.lit("red wigdet"))
+    sets = with_once(names, own=trigrams(F.col("p_name")), other=trigrams(F.lit("red wigdet")))
+    own, other = F.col("own"), F.col("other")
     return (
-        names.withColumn("shared", shared(own, other))
+        with_once(sets, shared=shared(own, other))
         .withColumn("combined", combined(own, other, F.col("shared")))
         .withColumn("similarity", F.round(ratio(F.col("shared"), F.col("combined")), 6))
+        .drop("own", "other")
     )
 
 
@@ -819,6 +822,21 @@ def fuzzy_titles(spark: SparkSession, folder: str) -> DataFrame:
     return fuzzy_search(names, "p_name", "red wid")
 
 
+@query(
+    f"""
+    WITH {_sql_wanted('the on that')},
+    scored AS (
+      SELECT doc_id, len(list_intersect(t, w)) AS s, len(t) + len(w) AS n
+      FROM (SELECT doc_id, {sql_trigrams('text')} AS t FROM documents), wanted)
+    SELECT doc_id, CAST(s AS INTEGER) AS shared, CAST(n - s AS INTEGER) AS combined
+    FROM scored WHERE s > 0 AND s * 20 >= n - s
+    """
+)
+def fuzzy_texts(spark: SparkSession, folder: str) -> DataFrame:
+    texts = spread(table(spark, folder, "documents").select("doc_id", "text"))
+    return fuzzy_search(texts, "text", "the on that", Threshold(1, 20)).drop("text")
+
+
 @query(_SQL_FUZZY)
 def fuzzy_titles_indexed(spark: SparkSession, folder: str) -> DataFrame:
     names = table(spark, folder, "part").select("p_name").distinct()

@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from espalier.functions.rowhash import row_hash
 from espalier.spec import names
 
 
@@ -19,14 +20,16 @@ def write_clustered(
 ) -> None:
     """Folders by `partition_by`, files in `sort_by` order.
 
-    The range exchange takes both column lists together, so a value that holds
-    a large share of the rows is cut into several files, and each file covers a
-    narrow range that parquet's min/max statistics can skip.
+    The range exchange takes both column lists together, and a hash of the row
+    after them, so a value that holds a large share of the rows is cut into
+    several files, and each file covers a narrow range that parquet's min/max
+    statistics can skip.
     """
     folders, order = names(partition_by), names(sort_by)
-    ranged = [F.col(c).asc_nulls_last() for c in (*folders, *order)]
-    spread = df.repartitionByRange(partitions, *ranged) if partitions else df.repartitionByRange(*ranged)
-    writer = spread.sortWithinPartitions(*ranged).write.mode("overwrite")
+    ranged = [F.col(f"`{c}`").asc_nulls_last() for c in (*folders, *order)]
+    ends = [*ranged, row_hash(df)]
+    split = df.repartitionByRange(partitions, *ends) if partitions else df.repartitionByRange(*ends)
+    writer = split.sortWithinPartitions(*ranged).write.mode("overwrite")
     if folders:
         writer = writer.partitionBy(*folders)
     writer.parquet(path)
@@ -41,8 +44,8 @@ def write_bucketed(df: DataFrame, name: str, path: str, by: str | Iterable[str],
     `write_clustered`.
     """
     keys = names(by)
-    spread = df.repartition(buckets, *keys)
-    writer = spread.write.mode("overwrite").format("parquet").option("path", path)
+    hashed = df.repartition(buckets, *keys)
+    writer = hashed.write.mode("overwrite").format("parquet").option("path", path)
     writer.bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
     return df.sparkSession.table(name)
 

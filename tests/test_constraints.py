@@ -106,3 +106,11 @@ def test_validate_covers_every_declared_rule(spark):
         ("kid", "id small", "check"): 1, ("kid", "id", "primary_key"): 3,
         ("kid", "parent", "unique"): 4, ("kid", "parent->par", "foreign_key"): 2,
     }
+
+
+def test_parent_key_repeated_many_times(spark):
+    child = spark.createDataFrame([(1,), (1,), (9,)], "fk int")
+    parent = spark.range(3000).select(F.lit(1).alias("pk"))
+    assert n(C.check_foreign_key(child, "fk", parent, "pk")) == [1]
+    key = ForeignKey(("fk",), "p", ("pk",))
+    assert rows(C.offending_rows(child, key, parent)) == [(9,)]

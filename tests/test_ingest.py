@@ -166,3 +166,16 @@ def test_bucketed_tables_join_without_an_exchange(spark, folder):
     assert rows(joined, "id", "k") == rows(child.select("id", "up"))
     spark.sql("DROP TABLE b_parent")
     spark.sql("DROP TABLE b_child")
+
+
+def test_one_sort_value_takes_several_ranges(spark, folder):
+    """Two thirds of the rows share their sort key; ids stay dense and repeatable."""
+    df = spark.range(9000).select("id", F.when(F.col("id") % 3 > 0, 5).otherwise(F.col("id")).alias("hot"))
+    first = assign_keys(df, "hot", key="k", partitions=8)
+    again = assign_keys(df.orderBy(F.desc("id")), "hot", key="k", partitions=3)
+    assert rows(first, "k", "id") == rows(again, "k", "id")
+    assert [r[0] for r in first.select("k").orderBy("k").collect()] == list(range(1, 9001))
+    write_clustered(df, folder + "/c", sort_by="hot", partitions=8)
+    stored = spark.read.parquet(folder + "/c").groupBy(F.input_file_name().alias("f")).count()
+    assert stored.agg(F.max("count")).first()[0] < 3000
+    assert stored.agg(F.sum("count")).first()[0] == 9000
