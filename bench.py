@@ -32,18 +32,18 @@ HEADLINE = [
     "check_fk",
     "check_numeric",
     "validate_report",
-    "cascade_counts",
+    "cascade_delete",
     "cascade_surviving",
     "surrogate_keys",
     "lookup_after_clustering",
     "publish_audit",
     "trigram_count",
-    "fuzzy_titles",
+    "fuzzy_search",
     "fuzzy_texts",
     "fuzzy_titles_indexed",
-    "pattern_titles",
-    "title_postings",
-    "similar_titles",
+    "pattern_search",
+    "trigram_index",
+    "similarity_join",
     "similar_long_titles",
     "catalog_summary",
     "catalog_cascade",

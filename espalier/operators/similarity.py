@@ -26,7 +26,9 @@ from espalier.functions.once import with_once
 from espalier.functions.trigram import Threshold, codes, shared, trigrams
 
 CROWD = 5_000
-LONGEST_CHAIN = 3
+# Extending a crowded chain costs a few rows per set, against thousands of
+# candidates per set; much longer chains would no longer pay off.
+LONGEST_CHAIN = 5
 # A set's bitmap has this many words of 64 bits.
 _WORDS = 4
 _NEXT = ","

@@ -47,13 +47,12 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a function under its own name, with its SQL if SQL can say it."""
+def query(sql: str, name: str | None = None) -> Callable[[Query], Query]:
+    """Register a function with its SQL, under `name` or its own name."""
 
     def add(fn: Query) -> Query:
-        QUERIES[fn.__name__] = fn
-        if sql is not None:
-            ORACLE[fn.__name__] = sql
+        QUERIES[name or fn.__name__] = fn
+        ORACLE[name or fn.__name__] = sql
         return fn
 
     return add
@@ -498,7 +497,8 @@ _SQL_DOOMED = """
     UNION ALL SELECT 'nation', count(*) FROM n UNION ALL SELECT 'customer', count(*) FROM c
     UNION ALL SELECT 'supplier', count(*) FROM s UNION ALL SELECT 'orders', count(*) FROM o
     UNION ALL SELECT 'lineitem', count(*) FROM lineitem WHERE l_orderkey IN (FROM o) OR l_suppkey IN (FROM s)
-    """
+    """,
+    name="cascade_delete",
 )
 def cascade_counts(spark: SparkSession, folder: str) -> DataFrame:
     return _cascade(spark, folder).counts()
@@ -594,7 +594,8 @@ def domain_order(spark: SparkSession, folder: str) -> DataFrame:
     SELECT event_id, strftime(ts - INTERVAL '5 hours 30 minutes', '%Y-%m-%d %H:%M:%S') AS utc,
            strftime(ts, '%Y-%m-%d %H:%M:%S') AS wall_time
     FROM events
-    """
+    """,
+    name="to_utc",
 )
 def to_utc_instant(spark: SparkSession, folder: str) -> DataFrame:
     """Readings taken in a zone 5:30 ahead of UTC all year."""
@@ -607,13 +608,13 @@ def to_utc_instant(spark: SparkSession, folder: str) -> DataFrame:
 # --- scans and filters ---------------------------------------------------
 
 
-@query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_custkey = 7 AND o_orderstatus = 'F'")
+@query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_custkey = 7 AND o_orderstatus = 'F'", name="lookup")
 def lookup_two_columns(spark: SparkSession, folder: str) -> DataFrame:
     found = lookup(table(spark, folder, "orders"), {"o_custkey": 7, "o_orderstatus": "F"})
     return found.select("o_orderkey", "o_orderstatus", "o_totalprice")
 
 
-@query(ORACLE["lookup_two_columns"])
+@query(ORACLE["lookup"])
 def lookup_after_clustering(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders")
     path = _stored(orders, "orders-clustered")
@@ -816,7 +817,7 @@ _SQL_FUZZY = f"""
 """
 
 
-@query(_SQL_FUZZY)
+@query(_SQL_FUZZY, name="fuzzy_search")
 def fuzzy_titles(spark: SparkSession, folder: str) -> DataFrame:
     names = table(spark, folder, "part").select("p_name").distinct()
     return fuzzy_search(names, "p_name", "red wid")
@@ -854,12 +855,12 @@ _INDEX = T.StructType(
 )
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%IDGE%'")
+@query("SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%IDGE%'", name="pattern_search")
 def pattern_titles(spark: SparkSession, folder: str) -> DataFrame:
     return pattern_search(table(spark, folder, "part"), "p_name", "%IDGE%").select("p_partkey", "p_name")
 
 
-@query(ORACLE["pattern_titles"])
+@query(ORACLE["pattern_search"])
 def pattern_titles_indexed(spark: SparkSession, folder: str) -> DataFrame:
     parts = table(spark, folder, "part").select("p_partkey", "p_name")
     index = trigram_index(parts, "p_partkey", "p_name")
@@ -876,7 +877,8 @@ def pattern_texts(spark: SparkSession, folder: str) -> DataFrame:
     SELECT trigram, p_partkey, CAST(n AS INTEGER) AS set_size
     FROM (SELECT p_partkey, unnest(t) AS trigram, len(t) AS n
           FROM (SELECT p_partkey, {sql_trigrams('p_name')} AS t FROM part))
-    """
+    """,
+    name="trigram_index",
 )
 def title_postings(spark: SparkSession, folder: str) -> DataFrame:
     return trigram_index(table(spark, folder, "part"), "p_partkey", "p_name")
@@ -899,7 +901,7 @@ _SQL_P_NAME = "SELECT DISTINCT p_name AS title FROM part"
 _SQL_P_LONG = "SELECT DISTINCT p_name || ' ' || p_brand || ' ' || p_type AS title FROM part"
 
 
-@query(_sql_pairs(_SQL_P_NAME, _SQL_P_NAME, 1, 2, "l.title < r.title"))
+@query(_sql_pairs(_SQL_P_NAME, _SQL_P_NAME, 1, 2, "l.title < r.title"), name="similarity_join")
 def similar_titles(spark: SparkSession, folder: str) -> DataFrame:
     return similarity_self_join(table(spark, folder, "part"), "p_name", Threshold(1, 2))
 
