@@ -111,12 +111,13 @@ def report_rows(df: DataFrame, rules: Sequence[RowRule], table: str) -> DataFram
     return counted.select(F.inline(F.array(*lines)))
 
 
-def _line(counted: DataFrame, table: str, name: str, kind: str) -> DataFrame:
-    return counted.select(
+def _line(bad: DataFrame, table: str, name: str, kind: str) -> DataFrame:
+    """The report line for key values that break a rule, by their rows."""
+    return bad.agg(
         F.lit(table).alias("table"),
         F.lit(name).alias("constraint"),
         F.lit(kind).alias("kind"),
-        F.coalesce(F.col("n_violations"), F.lit(0)).cast("long").alias("n_violations"),
+        F.coalesce(F.sum(_ROWS), F.lit(0)).cast("long").alias("n_violations"),
     )
 
 
@@ -136,8 +137,8 @@ def _breaks_unique(rule: UniqueRule) -> Column:
 
 def report_unique(df: DataFrame, rule: UniqueRule, table: str) -> DataFrame:
     """Counts every row of a repeated key, not only the surplus ones."""
-    counts = key_counts(df, rule.columns).filter(_breaks_unique(rule))
-    return _line(counts.agg(F.sum(_ROWS).alias("n_violations")), table, rule.name, rule.kind)
+    bad = key_counts(df, rule.columns).filter(_breaks_unique(rule))
+    return _line(bad, table, rule.name, rule.kind)
 
 
 def duplicate_keys(df: DataFrame, columns: str | Iterable[str]) -> DataFrame:
@@ -157,8 +158,7 @@ def _orphan_counts(child: DataFrame, columns: Sequence[str], parent: DataFrame,
 
 def report_foreign_key(child: DataFrame, key: ForeignKey, parent: DataFrame, table: str) -> DataFrame:
     orphans = _orphan_counts(child, key.columns, parent, key.parent_columns)
-    counted = orphans.agg(F.sum(_ROWS).alias("n_violations"))
-    return _line(counted, table, f"{','.join(key.columns)}->{key.parent}", "foreign_key")
+    return _line(orphans, table, f"{','.join(key.columns)}->{key.parent}", "foreign_key")
 
 
 # --- offending rows ------------------------------------------------------
@@ -255,7 +255,7 @@ def validate(tables: dict[str, DataFrame], specs: Sequence[TableSpec]) -> DataFr
         reports += [
             report_foreign_key(df, key, tables[key.parent], spec.name) for key in spec.foreign_keys
         ]
-    return reduce(DataFrame.unionByName, reports)
+    return reduce(DataFrame.union, reports)
 
 
 def validate_raw(df: DataFrame, spec: TableSpec) -> DataFrame:
