@@ -12,6 +12,7 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -23,6 +24,7 @@ from espalier.operators.constraints import REPORT_SCHEMA, validate
 from espalier.sources.ingest import scan
 from espalier.spec import TableSpec
 
+_WRITERS = 4
 _MANIFEST = T.StructType(
     [
         T.StructField("run", T.StringType()),
@@ -45,8 +47,9 @@ def publish(
     """Write, audit, and commit only a clean batch."""
     run = f"{dt.datetime.now(dt.timezone.utc):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
     paths = {spec.name: f"{target}/runs/{run}/{spec.name}" for spec in specs}
-    for spec in specs:
-        tables[spec.name].write.parquet(paths[spec.name])
+    # The tables don't depend on each other, so small ones needn't wait for large ones.
+    with ThreadPoolExecutor(_WRITERS) as pool:
+        list(pool.map(lambda spec: tables[spec.name].write.parquet(paths[spec.name]), specs))
     staged = {spec.name: scan(spark, paths[spec.name], spec) for spec in specs}
     # One row per declared constraint, so the report is as small as the specs.
     findings = validate(staged, specs).collect()
