@@ -17,7 +17,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import espalier.plans.catalog_workload  # noqa: E402, F401  (registers its queries)
 from espalier.plans.workload import QUERIES  # noqa: E402
-from espalier.session import build_session  # noqa: E402
+from espalier.session import build_session, share  # noqa: E402
 
 HEADLINE = [
     "hierarchy_full",
@@ -59,7 +59,7 @@ def run(spark, name: str, folder: str) -> float:
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = build_session("bench", cpus, partitions=int(cpus))
+    spark = share(build_session("bench", cpus, partitions=int(cpus)))
     warm = os.path.join(os.path.dirname(folder.rstrip("/")), "sf0.001")
     names = sys.argv[1:] or HEADLINE
     times = {}

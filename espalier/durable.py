@@ -8,7 +8,6 @@ them: they belong to the folder's own retention rule.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,13 +17,9 @@ _SETTING = "spark.checkpoint.dir"
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach."""
-    context = spark.sparkContext
-    folder = spark.conf.get(_SETTING, None) or context.getCheckpointDir()
+    folder = spark.conf.get(_SETTING, None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not context.master.startswith("local"):
-            raise RuntimeError(f"set {_SETTING} to a folder that every executor can reach")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="espalier-"))
-        folder = context.getCheckpointDir()
+        raise RuntimeError(f"set {_SETTING} to a folder that every executor can reach")
     return folder.rstrip("/")
 
 

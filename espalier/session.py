@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -32,3 +34,17 @@ def pin(spark: SparkSession) -> SparkSession:
     """Instants are read, cast and printed in UTC, whatever the host's zone."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
+
+
+def share(spark: SparkSession) -> SparkSession:
+    """For programs that may run on one machine: see that a shared folder is set.
+
+    A session that names one keeps it. Without one, a local session gets a
+    folder of its own; a cluster has to name one.
+    """
+    context = spark.sparkContext
+    if not (spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
+        if context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="espalier-"))
+    return spark
