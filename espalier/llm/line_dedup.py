@@ -196,8 +196,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.min("key_id").alias("first"),
         ((F.min("key_id") != F.max("key_id")) | ((some > 0) & (some < F.count(F.lit(1))))).alias("shared"),
     )
+    # Stored, so that the join below has an exchange on either side and a line
+    # that a third of the documents hold can be split.
+    first = materialize(seen.filter("shared").drop("shared"), "shared-lines")
     drops = (
-        suspects.join(seen.filter("shared").drop("shared"), "line")
+        suspects.join(first, "line")
         .filter(~F.col("key_id").eqNullSafe(F.col("first")))
         .groupBy("key_id", "key_text")
         .agg(F.flatten(F.collect_list("places")))
