@@ -30,13 +30,16 @@ MOST_WORDS = 1 << 20
 MOST_BYTES = 32 << 20
 _BUCKETS_PER_TASK = 8
 _TALLY = 1 << 21
+_SEED = 42  # of Spark's own xxhash64
 
-# The pattern of the vocabulary's pre-tokeniser. White space is
-# spelled out, as Java's class knows ASCII only.
+# The pattern of the vocabulary's pre-tokeniser, the commonest
+# case first (the cases begin with different characters, so order is free) and
+# without backtracking. White space is spelled out, as Java's class knows ASCII
+# only.
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = (
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+"
-    rf"| ?[^{_WHITE}\p{{L}}\p{{N}}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+"
+    r" ?[a-zA-Z\p{L}]++| ?\p{N}++|'(?:[stmd]|re|ve|ll)"
+    rf"| ?[^{_WHITE}\p{{L}}\p{{N}}]++|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+"
 )
 
 
@@ -168,7 +171,7 @@ def _encode(definition):
         ids: list[bytes] = []
         tokenizer = _tokenizer(definition.value)
         for start in range(0, len(found), 4096):
-            done = tokenizer.encode_batch(found[start : start + 4096], add_special_tokens=False)
+            done = tokenizer.encode_batch_fast(found[start : start + 4096], add_special_tokens=False)
             ids += [np.array(e.ids, "<u4").tobytes() for e in done]
         return pa.RecordBatch.from_arrays(
             [pa.array(found, pa.string()), pa.array(list(counts.values()), pa.int64()), pa.array(ids, pa.binary())],
@@ -232,96 +235,108 @@ def frequent_class(table: DataFrame, most_words: int, most_bytes: int) -> int:
 
 
 class Frequent:
-    """The broadcast words, sorted by hash; a match is verified by the word itself."""
+    """The broadcast words in the order of their counts, found by hash; a match
+    is verified by the word itself. Built once, on the driver."""
 
     def __init__(self, table: pa.Table):
-        found = table["word"].combine_chunks().cast(pa.large_binary())
-        hashes = _hashes(found.to_pylist())
-        order = np.argsort(hashes, kind="stable")
-        self.hashes = hashes[order]
-        self.words = found.take(pa.array(order))
-        ids = table["ids"].combine_chunks().take(pa.array(order)).to_pylist()
-        self.ids = np.frombuffer(b"".join(ids), "<u4")
-        self.lengths = np.array([len(i) // 4 for i in ids], np.int64)
+        table = table.take(pc.sort_indices(table, [("n", "descending"), ("word", "ascending")])).combine_chunks()
+        self.words = table["word"].combine_chunks().cast(pa.large_binary())
+        hashes = table["hash"].to_numpy().view(np.uint64)
+        self.order = np.argsort(hashes, kind="stable").astype(np.int32)
+        self.hashes = hashes[self.order]
+        ids = table["ids"].combine_chunks().cast(pa.large_binary())
+        self.lengths = (pc.binary_length(ids).to_numpy(zero_copy_only=False) // 4).astype(np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
+        self.ids = np.frombuffer(b"".join(ids.to_pylist()), "<u4")
 
     def places(self, found: pa.Array) -> np.ndarray:
         """The place of each word, -1 for one that isn't here."""
         if not len(self.hashes) or not len(found):
             return np.full(len(found), -1, np.int32)
-        hashes = _hashes(found.to_pylist())
+        hashes = np.array([xxhash.xxh64_intdigest(w, _SEED) for w in found.to_pylist()], np.uint64)
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        same = pc.equal(self.words.take(pa.array(at)), found.cast(pa.large_binary())).to_numpy(zero_copy_only=False)
-        out = np.where(same, at, -1).astype(np.int32)
-        # Equal hashes of different words are neighbours: look at them one by one.
-        for i in np.flatnonzero(~same & (self.hashes[at] == hashes)):
+        place = self.order[at]
+        met = np.flatnonzero(self.hashes[at] == hashes)
+        same = pc.equal(self.words.take(pa.array(place[met])), found.cast(pa.large_binary()).take(pa.array(met)))
+        same = same.to_numpy(zero_copy_only=False).astype(bool)
+        out = np.full(len(found), -1, np.int32)
+        out[met[same]] = place[met[same]]
+        # Different words of one hash are neighbours: look at them one by one.
+        for i in met[~same]:
             word, j = found[int(i)].as_py(), int(at[i]) + 1
             while j < len(self.hashes) and self.hashes[j] == hashes[i]:
-                if self.words[j].as_py() == word:
-                    out[i] = j
+                if self.words[int(self.order[j])].as_py() == word:
+                    out[i] = self.order[j]
                     break
                 j += 1
         return out
 
 
-_READY: dict[object, Frequent] = {}
+def _looked_up(sent, rules):
+    """Per row, as one value: the place of every word among the frequent ones
+    (0 for none), and the other words with their positions."""
 
-
-def _frequent(sent) -> Frequent:
-    """Built once per Python worker."""
-    key, table = sent.value
-    if key not in _READY:
-        _READY.clear()
-        with pa.ipc.open_stream(pa.BufferReader(table)) as reader:
-            _READY[key] = Frequent(reader.read_all())
-    return _READY[key]
-
-
-def _looked_up(batch_words: pa.Array, frequent: Frequent) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """Distinct words of a batch, the place of each in the dictionary per position, the frequent place per position."""
-    flat = _bytes_of(batch_words.flatten()).dictionary_encode()
-    index = flat.indices.to_numpy(zero_copy_only=False)
-    return flat.dictionary, index, frequent.places(flat.dictionary)[index]
-
-
-def _rare(sent, rules):
     def run(batches):
+        frequent, pack = sent.value, zstandard.ZstdCompressor(1).compress
         for batch in batches:
             listed = _words_of(batch, rules)
-            distinct, index, places = _looked_up(listed, _frequent(sent))
-            rare = np.flatnonzero(places < 0)
+            flat = _bytes_of(listed.flatten()).dictionary_encode()
+            index = flat.indices.to_numpy(zero_copy_only=False)
+            places = frequent.places(flat.dictionary)[index]
             lengths = pc.list_value_length(listed).to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(len(lengths)), lengths)[rare]
-            place = rare - (np.cumsum(lengths) - lengths)[row]
+            ends = np.cumsum(lengths)
+            planes = (places + 1).astype("<u4").view(np.uint8).reshape(-1, 4).T[:3]
+            rare = np.flatnonzero(places < 0)
+            others = flat.dictionary.take(pa.array(index[rare])).to_pylist()
+            cuts = np.searchsorted(rare, ends)
+            packed, first = [], 0
+            for end, n, cut in zip(ends, lengths, cuts):
+                found = others[first:cut]
+                parts = (
+                    np.ascontiguousarray(planes[:, end - n : end]).tobytes(),
+                    (rare[first:cut] - (end - n)).astype("<i4").tobytes(),
+                    np.array([len(w) for w in found], "<i4").tobytes(),
+                    b"".join(found),
+                )
+                packed.append(np.array([n, len(found)], "<i4").tobytes() + pack(b"".join(parts)))
+                first = cut
             yield pa.RecordBatch.from_arrays(
-                [
-                    distinct.take(pa.array(index[rare])).cast(pa.string()),
-                    batch.column(0).take(pa.array(row)),
-                    batch.column(1).take(pa.array(row)),
-                    pa.array(place.astype(np.int32)),
-                ],
-                names=["word", "key_id", "key_text", "place"],
+                [*batch.columns[:-2], pa.array(packed, pa.large_binary())], names=[*batch.schema.names[:-2], "coded"]
             )
 
     return run
 
 
-def _coded(sent, rules):
-    """Per row: the frequent place of every word, packed by byte planes."""
-
-    def run(batches):
-        for batch in batches:
-            listed = _words_of(batch, rules)
-            _, _, places = _looked_up(listed, _frequent(sent))
-            lengths = pc.list_value_length(listed).to_numpy(zero_copy_only=False)
-            planes = (places + 1).astype("<u4").view(np.uint8).reshape(-1, 4).T
-            ends = np.cumsum(lengths)
-            packed = [_pack(planes[:3, e - n : e]) for e, n in zip(ends, lengths)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["key_id", "key_text", "coded"]
-            )
-
-    return run
+def _opened(coded: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, memoryview]:
+    """Places of the frequent words; positions, lengths and bytes of the others."""
+    n, rare = np.frombuffer(coded, "<i4", 2)
+    inside = zstandard.ZstdDecompressor().decompress(coded[8:])
+    planes = np.frombuffer(inside, np.uint8, 3 * n).reshape(3, n).astype(np.int64)
+    places = planes[0] + (planes[1] << 8) + (planes[2] << 16) - 1
+    at, lengths = np.frombuffer(inside, "<i4", 2 * rare, 3 * int(n)).reshape(2, rare)
+    return places, at, lengths, memoryview(inside)[3 * int(n) + 8 * int(rare) :]
+
+
+def _rare(batches):
+    """`coded` rows as one row per word that isn't frequent."""
+    for batch in batches:
+        row, at, words = [], [], []
+        for i, coded in enumerate(batch.column(2).to_pylist()):
+            _, places, lengths, text = _opened(coded)
+            ends = np.cumsum(lengths).tolist()
+            words += [bytes(text[a:b]) for a, b in zip([0, *ends], ends)]
+            at.append(places)
+            row.append(np.full(len(places), i))
+        row = pa.array(np.concatenate(row) if row else [], pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(words, pa.binary()).cast(pa.string()),
+                batch.column(0).take(row),
+                batch.column(1).take(row),
+                pa.array(np.concatenate(at) if at else [], pa.int32()),
+            ],
+            names=["word", "fill_id", "fill_text", "place"],
+        )
 
 
 def _gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -333,31 +348,23 @@ def _gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.n
 
 def _filled(sent):
     def run(batches):
+        frequent = sent.value
         for batch in batches:
-            frequent, out = _frequent(sent), []
+            out = []
             for coded, fills in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                planes = _unpack(coded, np.uint8).reshape(3, -1).astype(np.int64)
-                places = planes[0] + (planes[1] << 8) + (planes[2] << 16) - 1
+                places, holes, _, _ = _opened(coded)
                 rare = {f["place"]: f["ids"] for f in fills or ()}
-                holes = np.flatnonzero(places < 0)
-                extra = [np.frombuffer(rare[int(h)], "<u4") for h in holes]
-                base = len(frequent.ids)
-                lengths = np.where(places < 0, 0, frequent.lengths[places] if base else 0)
-                starts = np.where(places < 0, 0, frequent.starts[places] if base else 0)
-                lengths[holes] = [len(e) for e in extra]
-                starts[holes] = np.cumsum([0, *map(len, extra)])[:-1]
-                ids = np.empty(int(lengths.sum()), "<u4")
-                from_rare = np.repeat(places < 0, lengths)
+                extra = [np.frombuffer(rare[h], "<u4") for h in holes.tolist()]
                 usual = places >= 0
+                lengths, starts = np.zeros(len(places), np.int64), np.zeros(len(places), np.int64)
+                lengths[usual], starts[usual] = frequent.lengths[places[usual]], frequent.starts[places[usual]]
+                lengths[holes] = [len(e) for e in extra]
+                ids, from_rare = np.empty(int(lengths.sum()), "<u4"), np.repeat(~usual, lengths)
                 ids[~from_rare] = _gather(frequent.ids, starts[usual], lengths[usual])
                 ids[from_rare] = np.concatenate(extra) if extra else []
                 out.append(ids.tobytes())
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([len(o) // 4 for o in out], pa.int64()),
-                    pa.array(out, pa.binary()),
-                ],
+                [batch.column(0), pa.array([len(o) // 4 for o in out], pa.int64()), pa.array(out, pa.binary())],
                 names=["doc_id", "n_tokens", "ids"],
             )
 
@@ -386,26 +393,28 @@ def encode(
     small_batches(spark, 1024)
     table = distinct_words(docs, definition, text_col)
     lowest = frequent_class(table, most_words, most_bytes)
-    usual = table.filter(_class() >= lowest).select("word", "ids").toArrow()
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, usual.schema) as writer:
-        writer.write_table(usual)
-    sent = spark.sparkContext.broadcast((os.urandom(8), sink.getvalue().to_pybytes()))
+    usual = table.filter(_class() >= lowest).select("word", "n", "ids", F.xxhash64("word").alias("hash"))
+    sent = spark.sparkContext.broadcast(Frequent(usual.toArrow()))
+    rules = spark.sparkContext.broadcast(definition)
 
     kind = docs.select(q(id_col)).schema[0].dataType.simpleString()
-    rules = spark.sparkContext.broadcast(definition)
-    listed = split(docs, text_col, definition, *row_key(id_col, text_col))
-    rare = listed.mapInArrow(_rare(sent, rules), f"word string, key_id {kind}, key_text long, place int")
-    others = table.filter(_class() < lowest).select("word", "ids")
+    # One value per row, and one exchange of it that both uses below share.
+    coded = (
+        split(docs, text_col, definition, *row_key(id_col, text_col), q(id_col).alias("doc_id"))
+        .mapInArrow(_looked_up(sent, rules), f"key_id long, key_text long, doc_id {kind}, coded binary")
+        .select("key_id", "key_text", F.struct("doc_id", "coded").alias("row"))
+        .repartition(shuffle_partitions(spark), "key_id", "key_text")
+    )
+    rare = coded.select("key_id", "key_text", F.col("row.coded")).mapInArrow(
+        _rare, "word string, fill_id long, fill_text long, place int"
+    )
     fills = (
-        rare.join(others, "word")
-        .groupBy("key_id", "key_text")
+        rare.join(table.filter(_class() < lowest).select("word", "ids"), "word")
+        .groupBy("fill_id", "fill_text")
         .agg(F.collect_list(F.struct("place", "ids")).alias("fills"))
-        .toDF("fill_id", "fill_text", "fills")
     )
-    coded = listed.mapInArrow(_coded(sent, rules), f"key_id {kind}, key_text long, coded binary")
-    match = F.col("key_id").eqNullSafe(F.col("fill_id")) & (F.col("key_text") == F.col("fill_text"))
-    joined = coded.join(fills, match, "left").select("key_id", "coded", "fills")
+    match = (F.col("key_id") == F.col("fill_id")) & (F.col("key_text") == F.col("fill_text"))
+    joined = coded.join(fills, match, "left").select("row.doc_id", "row.coded", "fills")
     return joined.mapInArrow(_filled(sent), f"doc_id {kind}, n_tokens long, ids binary")
 
 

@@ -39,10 +39,11 @@ def text_of(name: str) -> Column:
 def row_key(id_col: str, text_col: str) -> list[Column]:
     """What tells the rows of a table of documents apart.
 
-    Rows that agree in both are copies of one row and have equal results, so
-    repeated rows and ids that are null or not unique need no care elsewhere.
+    Two hashes, never null. Rows that agree in both are copies of one row and
+    have equal results, so repeated rows and ids that are null or not unique
+    need no care elsewhere.
     """
-    return [q(id_col).alias("key_id"), F.xxhash64(text_of(text_col)).alias("key_text")]
+    return [F.xxhash64(q(id_col)).alias("key_id"), F.xxhash64(text_of(text_col)).alias("key_text")]
 
 
 def raw(column: pa.Array) -> list[bytes]:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from espalier.durable import materialize
-from espalier.llm.common import SPACES, q, raw, row_key, shuffle_partitions, small_batches, text_of
+from espalier.llm.common import SPACES, q, raw, shuffle_partitions, small_batches, text_of
 
 SHORTEST = 10
 # Bits of one filter: eight per line of the corpus, within these bounds. The
@@ -183,7 +183,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     small_batches(spark)
     bits = bits or filter_bits(docs, text_col)
     twice = spark.sparkContext.broadcast(repeated_lines_filter(docs, text_col, bits))
-    key = row_key(id_col, text_col)
+    key = [q(id_col).alias("key_id"), F.xxhash64(text_of(text_col)).alias("key_text")]
     kind = docs.select(q(id_col)).schema[0].dataType.simpleString()
     suspects = materialize(
         docs.select(*key, text_of(text_col).alias("text")).mapInArrow(

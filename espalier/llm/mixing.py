@@ -142,7 +142,7 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     keyed = docs.select("*", key[0].alias("__id"), key[1].alias("__text"), q(source_col).cast("string").alias("__source"))
     often = often.toDF("__often_id", "__often_text", "__often_source", "__epochs").filter("__epochs > 0")
     match = (
-        F.col("__id").eqNullSafe(F.col("__often_id"))
+        (F.col("__id") == F.col("__often_id"))
         & (F.col("__text") == F.col("__often_text"))
         & F.col("__source").eqNullSafe(F.col("__often_source"))
     )

@@ -202,5 +202,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id
     good = judge(docs, labels, host, path, id_col, text_col, **how).filter("keep").select("key_id", "key_text").distinct()
     key = row_key(id_col, text_col)
     good = good.toDF("__good_id", "__good_text")
-    match = key[0].eqNullSafe(F.col("__good_id")) & (key[1] == F.col("__good_text"))
+    match = (key[0] == F.col("__good_id")) & (key[1] == F.col("__good_text"))
     return docs.join(good, match, "left_semi")
