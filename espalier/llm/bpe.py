@@ -29,7 +29,7 @@ from espalier.llm.common import q, row_key, shuffle_partitions, small_batches, t
 MOST_WORDS = 1 << 20
 MOST_BYTES = 32 << 20
 _BUCKETS_PER_TASK = 8
-_TALLY = 1 << 21
+_TALLY = 1 << 20
 _SEED = 42  # of Spark's own xxhash64
 
 # The pattern of the vocabulary's pre-tokeniser, the commonest
@@ -239,16 +239,10 @@ class Frequent:
     is verified by the word itself. Built once, on the driver."""
 
     def __init__(self, table: pa.Table):
-        table = table.take(pc.sort_indices(table, [("n", "descending"), ("word", "ascending")])).combine_chunks()
-        self.words = table["word"].combine_chunks().cast(pa.large_binary())
+        self.words = table["word"].combine_chunks().cast(pa.binary())
         hashes = table["hash"].to_numpy().view(np.uint64)
         self.order = np.argsort(hashes, kind="stable").astype(np.int32)
         self.hashes = hashes[self.order]
-        ids = table["ids"].combine_chunks().cast(pa.large_binary())
-        self.lengths = (pc.binary_length(ids).to_numpy(zero_copy_only=False) // 4).astype(np.int64)
-        self.starts = np.cumsum(self.lengths) - self.lengths
-        self.ids = np.frombuffer(b"".join(ids.to_pylist()), "<u4")
-
     def places(self, found: pa.Array) -> np.ndarray:
         """The place of each word, -1 for one that isn't here."""
         if not len(self.hashes) or not len(found):
@@ -257,7 +251,7 @@ class Frequent:
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         place = self.order[at]
         met = np.flatnonzero(self.hashes[at] == hashes)
-        same = pc.equal(self.words.take(pa.array(place[met])), found.cast(pa.large_binary()).take(pa.array(met)))
+        same = pc.equal(self.words.take(pa.array(place[met])), found.cast(pa.binary()).take(pa.array(met)))
         same = same.to_numpy(zero_copy_only=False).astype(bool)
         out = np.full(len(found), -1, np.int32)
         out[met[same]] = place[met[same]]
@@ -272,11 +266,22 @@ class Frequent:
         return out
 
 
+class Codes:
+    """The ids of the broadcast words, in the same order."""
+
+    def __init__(self, table: pa.Table):
+        ids = table["ids"].combine_chunks().cast(pa.binary())
+        self.lengths = (pc.binary_length(ids).to_numpy(zero_copy_only=False) // 4).astype(np.int32)
+        self.starts = np.cumsum(self.lengths, dtype=np.int32) - self.lengths
+        self.ids = np.frombuffer(b"".join(ids.to_pylist()), "<u4")
+
+
 def _looked_up(sent, rules):
     """Per row, as one value: the place of every word among the frequent ones
     (0 for none), and the other words with their positions."""
 
     def run(batches):
+        _tokenizer.cache_clear()  # a worker that has encoded words keeps no vocabulary
         frequent, pack = sent.value, zstandard.ZstdCompressor(1).compress
         for batch in batches:
             listed = _words_of(batch, rules)
@@ -301,8 +306,9 @@ def _looked_up(sent, rules):
                 packed.append(np.array([n, len(found)], "<i4").tobytes() + pack(b"".join(parts)))
                 first = cut
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-2], pa.array(packed, pa.large_binary())], names=[*batch.schema.names[:-2], "coded"]
+                [*batch.columns[:-2], pa.array(packed, pa.binary())], names=[*batch.schema.names[:-2], "coded"]
             )
+            pa.default_memory_pool().release_unused()
 
     return run
 
@@ -321,7 +327,7 @@ def _rare(batches):
     """`coded` rows as one row per word that isn't frequent."""
     for batch in batches:
         row, at, words = [], [], []
-        for i, coded in enumerate(batch.column(2).to_pylist()):
+        for i, coded in enumerate(batch.column(3).to_pylist()):
             _, places, lengths, text = _opened(coded)
             ends = np.cumsum(lengths).tolist()
             words += [bytes(text[a:b]) for a, b in zip([0, *ends], ends)]
@@ -348,7 +354,7 @@ def _gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.n
 
 def _filled(sent):
     def run(batches):
-        frequent = sent.value
+        codes = sent.value
         for batch in batches:
             out = []
             for coded, fills in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
@@ -357,10 +363,10 @@ def _filled(sent):
                 extra = [np.frombuffer(rare[h], "<u4") for h in holes.tolist()]
                 usual = places >= 0
                 lengths, starts = np.zeros(len(places), np.int64), np.zeros(len(places), np.int64)
-                lengths[usual], starts[usual] = frequent.lengths[places[usual]], frequent.starts[places[usual]]
+                lengths[usual], starts[usual] = codes.lengths[places[usual]], codes.starts[places[usual]]
                 lengths[holes] = [len(e) for e in extra]
                 ids, from_rare = np.empty(int(lengths.sum()), "<u4"), np.repeat(~usual, lengths)
-                ids[~from_rare] = _gather(frequent.ids, starts[usual], lengths[usual])
+                ids[~from_rare] = _gather(codes.ids, starts[usual], lengths[usual])
                 ids[from_rare] = np.concatenate(extra) if extra else []
                 out.append(ids.tobytes())
             yield pa.RecordBatch.from_arrays(
@@ -390,11 +396,14 @@ def encode(
     or repeated don't matter.
     """
     spark = docs.sparkSession
-    small_batches(spark, 1024)
+    small_batches(spark)
     table = distinct_words(docs, definition, text_col)
     lowest = frequent_class(table, most_words, most_bytes)
     usual = table.filter(_class() >= lowest).select("word", "n", "ids", F.xxhash64("word").alias("hash"))
-    sent = spark.sparkContext.broadcast(Frequent(usual.toArrow()))
+    usual = usual.toArrow()
+    usual = usual.take(pc.sort_indices(usual, [("n", "descending"), ("word", "ascending")])).combine_chunks()
+    # Two broadcasts, as no task needs both.
+    sent, codes = spark.sparkContext.broadcast(Frequent(usual)), spark.sparkContext.broadcast(Codes(usual))
     rules = spark.sparkContext.broadcast(definition)
 
     kind = docs.select(q(id_col)).schema[0].dataType.simpleString()
@@ -402,20 +411,18 @@ def encode(
     coded = (
         split(docs, text_col, definition, *row_key(id_col, text_col), q(id_col).alias("doc_id"))
         .mapInArrow(_looked_up(sent, rules), f"key_id long, key_text long, doc_id {kind}, coded binary")
-        .select("key_id", "key_text", F.struct("doc_id", "coded").alias("row"))
         .repartition(shuffle_partitions(spark), "key_id", "key_text")
     )
-    rare = coded.select("key_id", "key_text", F.col("row.coded")).mapInArrow(
-        _rare, "word string, fill_id long, fill_text long, place int"
-    )
+    # All columns go in, as pruning one would make this exchange another one.
+    rare = coded.mapInArrow(_rare, "word string, fill_id long, fill_text long, place int")
     fills = (
         rare.join(table.filter(_class() < lowest).select("word", "ids"), "word")
         .groupBy("fill_id", "fill_text")
         .agg(F.collect_list(F.struct("place", "ids")).alias("fills"))
     )
     match = (F.col("key_id") == F.col("fill_id")) & (F.col("key_text") == F.col("fill_text"))
-    joined = coded.join(fills, match, "left").select("row.doc_id", "row.coded", "fills")
-    return joined.mapInArrow(_filled(sent), f"doc_id {kind}, n_tokens long, ids binary")
+    joined = coded.join(fills, match, "left").select("doc_id", "coded", "fills")
+    return joined.mapInArrow(_filled(codes), f"doc_id {kind}, n_tokens long, ids binary")
 
 
 # --- decoding ------------------------------------------------------------------
