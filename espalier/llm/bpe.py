@@ -1,9 +1,9 @@
 """Byte-level BPE over a table of distinct words.
 
-Spark splits the texts into words. Every distinct word of the corpus is encoded
-once. The most frequent ones, a bounded number, go to all tasks and are looked
-up where the text lies; each other word travels once per place to its distinct
-word, and its ids travel back and are joined in by position. Ids become text
+Spark splits the texts into words and counts the distinct ones. The most
+frequent, a bounded number, are encoded and go to all tasks, to be looked up
+where the text lies. Every other word travels once per place to meet its like,
+is encoded once there, and its ids travel back and are joined in by position. Ids become text
 again by a lookup in the table of pieces, which the vocabulary bounds.
 """
 
@@ -28,6 +28,10 @@ from espalier.llm.common import q, row_key, shuffle_partitions, small_batches, t
 # Bounds of the frequent words that are broadcast: their number and their bytes.
 MOST_WORDS = 1 << 20
 MOST_BYTES = 32 << 20
+# A longer word is never among them; should many rows hold it, its rows are
+# dealt to so many tasks, each of which encodes it.
+LONGEST = 1024
+_SPREAD = 64
 _BUCKETS_PER_TASK = 8
 _TALLY = 1 << 20
 _SEED = 42  # of Spark's own xxhash64
@@ -163,56 +167,73 @@ def _tally(buckets: int, rules):
     return run
 
 
-def _encode(definition):
-    """Each bucket's words, added up over the tasks and encoded once."""
+def _added_up(batches):
+    """Each bucket's words with their counts over all tasks."""
 
-    def encoded(counts: dict[bytes, int]):
-        found = [w.decode() for w in counts]
-        ids: list[bytes] = []
-        tokenizer = _tokenizer(definition.value)
-        for start in range(0, len(found), 4096):
-            done = tokenizer.encode_batch_fast(found[start : start + 4096], add_special_tokens=False)
-            ids += [np.array(e.ids, "<u4").tobytes() for e in done]
+    def rows(counts: dict[bytes, int]):
         return pa.RecordBatch.from_arrays(
-            [pa.array(found, pa.string()), pa.array(list(counts.values()), pa.int64()), pa.array(ids, pa.binary())],
-            names=["word", "n", "ids"],
+            [pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())],
+            names=["word", "n"],
         )
 
-    def run(batches):
-        at, counts = None, {}
-        for batch in batches:
-            for bucket, blob, lengths, n in zip(*(c.to_pylist() for c in batch.columns)):
-                if bucket != at:
-                    if counts:
-                        yield encoded(counts)
-                    at, counts = bucket, {}
-                text, start = zstandard.ZstdDecompressor().decompress(blob), 0
-                for length, k in zip(_unpack(lengths, np.int32).tolist(), _unpack(n, np.int64).tolist()):
-                    word = text[start : start + length]
-                    counts[word] = counts.get(word, 0) + k
-                    start += length
-        if counts:
-            yield encoded(counts)
-
-    return run
+    at, counts = None, {}
+    for batch in batches:
+        for bucket, blob, lengths, n in zip(*(c.to_pylist() for c in batch.columns)):
+            if bucket != at:
+                if counts:
+                    yield rows(counts)
+                at, counts = bucket, {}
+            text, start = zstandard.ZstdDecompressor().decompress(blob), 0
+            for length, k in zip(_unpack(lengths, np.int32).tolist(), _unpack(n, np.int64).tolist()):
+                word = text[start : start + length]
+                counts[word] = counts.get(word, 0) + k
+                start += length
+    if counts:
+        yield rows(counts)
 
 
 def distinct_words(docs: DataFrame, definition: str, text_col: str = "text") -> DataFrame:
-    """`word, n, ids`: every distinct word once, with its count and its ids
-    (little-endian unsigned 32-bit integers). Stored."""
+    """`word, n`: every distinct word once, with its count. Stored."""
     spark = docs.sparkSession
     tasks = shuffle_partitions(spark)
-    sent = spark.sparkContext.broadcast(definition)
+    rules = spark.sparkContext.broadcast(definition)
     return materialize(
         split(docs, text_col, definition)
-        .mapInArrow(_tally(tasks * _BUCKETS_PER_TASK, sent), "bucket int, words binary, lengths binary, counts binary")
+        .mapInArrow(_tally(tasks * _BUCKETS_PER_TASK, rules), "bucket int, words binary, lengths binary, counts binary")
         .repartition(tasks, "bucket")
         .sortWithinPartitions("bucket")
-        .mapInArrow(_encode(sent), "word string, n long, ids binary"),
+        .mapInArrow(_added_up, "word string, n long"),
         "bpe-words",
     )
 
 
+def _ids(words: list[str], rules) -> list[bytes]:
+    """Little-endian unsigned 32-bit integers, as the library encodes each word."""
+    done = _tokenizer(rules.value).encode_batch_fast(words, add_special_tokens=False)
+    return [np.array(e.ids, "<u4").tobytes() for e in done]
+
+
+def _encoded(rules):
+    """Rows that begin with a word, the same words one after another: each word
+    is replaced by its ids, and encoded once."""
+
+    def run(batches):
+        last, known = None, b""
+        for batch in batches:
+            runs = pc.run_end_encode(batch.column(0))
+            words, ends = runs.values.to_pylist(), runs.run_ends.to_numpy()
+            new = words[1:] if words and words[0] == last else words
+            ids = _ids(new, rules)
+            ids = ids if len(new) == len(words) else [known, *ids]
+            last, known = words[-1] if words else last, ids[-1] if ids else known
+            spread = np.repeat(np.arange(len(ids)), np.diff(ends, prepend=0))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.binary()).take(pa.array(spread)), *batch.columns[1:]], names=["ids", *batch.schema.names[1:]]
+            )
+
+    return run
+
+
 # --- frequent words ----------------------------------------------------------
 
 # Counts fall into classes, eight to a doubling.
@@ -221,9 +242,11 @@ def _class() -> Column:
 
 
 def frequent_class(table: DataFrame, most_words: int, most_bytes: int) -> int:
-    """The lowest class of counts from which all words fit both bounds."""
-    sizes = table.groupBy(_class().alias("class")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("word") + F.octet_length("ids")).alias("b")
+    """The lowest class of counts from which all words fit both bounds.
+
+    A word's ids take four bytes for each of its bytes at most."""
+    sizes = table.filter(_short()).groupBy(_class().alias("class")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("word")).alias("b")
     )
     lowest, n, size = 1 << 20, 0, 0
     for row in sorted(sizes.collect(), key=lambda r: -r["class"]):  # a few hundred rows at most
@@ -234,6 +257,10 @@ def frequent_class(table: DataFrame, most_words: int, most_bytes: int) -> int:
     return lowest
 
 
+def _short() -> Column:
+    return F.octet_length("word") <= LONGEST
+
+
 class Frequent:
     """The broadcast words in the order of their counts, found by hash; a match
     is verified by the word itself. Built once, on the driver."""
@@ -399,12 +426,14 @@ def encode(
     small_batches(spark)
     table = distinct_words(docs, definition, text_col)
     lowest = frequent_class(table, most_words, most_bytes)
-    usual = table.filter(_class() >= lowest).select("word", "n", "ids", F.xxhash64("word").alias("hash"))
-    usual = usual.toArrow()
+    rules = spark.sparkContext.broadcast(definition)
+    usual = table.filter(_short() & (_class() >= lowest)).select("word", "word", "n", F.xxhash64("word").alias("hash"))
+    usual = usual.toDF("again", "word", "n", "hash").mapInArrow(
+        _encoded(rules), "ids binary, word string, n long, hash long"
+    ).toArrow()
     usual = usual.take(pc.sort_indices(usual, [("n", "descending"), ("word", "ascending")])).combine_chunks()
     # Two broadcasts, as no task needs both.
     sent, codes = spark.sparkContext.broadcast(Frequent(usual)), spark.sparkContext.broadcast(Codes(usual))
-    rules = spark.sparkContext.broadcast(definition)
 
     kind = docs.select(q(id_col)).schema[0].dataType.simpleString()
     # One value per row, and one exchange of it that both uses below share.
@@ -415,8 +444,11 @@ def encode(
     )
     # All columns go in, as pruning one would make this exchange another one.
     rare = coded.mapInArrow(_rare, "word string, fill_id long, fill_text long, place int")
+    tasks = F.when(F.octet_length("word") > LONGEST, F.pmod("fill_id", F.lit(_SPREAD))).otherwise(F.lit(0))
     fills = (
-        rare.join(table.filter(_class() < lowest).select("word", "ids"), "word")
+        rare.repartition(shuffle_partitions(spark), "word", tasks)
+        .sortWithinPartitions("word")
+        .mapInArrow(_encoded(rules), "ids binary, fill_id long, fill_text long, place int")
         .groupBy("fill_id", "fill_text")
         .agg(F.collect_list(F.struct("place", "ids")).alias("fills"))
     )
