@@ -18,7 +18,7 @@ _DOOMED = "__doomed"
 
 @dataclass(frozen=True)
 class Cascade:
-    """Per table: the rows that go and the rows that stay."""
+    """The rows that go, per table that the delete reaches, and the rows that stay, per table."""
 
     deleted: dict[str, DataFrame]
     surviving: dict[str, DataFrame]
@@ -54,6 +54,7 @@ def cascade_delete(
     surviving: dict[str, DataFrame] = {}
     doomed: dict[tuple[str, tuple[str, ...]], DataFrame] = {}
     graph = {child: {k.parent for k in keys} for child, keys in foreign_keys.items()}
+    graph.setdefault(root, set())  # a root without keys or children is deleted from all the same
     for name in TopologicalSorter(graph).static_order():
         if name == root:
             # An unknown predicate deletes nothing.
@@ -70,7 +71,8 @@ def cascade_delete(
             marked = _mark(tables[name], [(k, doomed[k.parent, k.parent_columns]) for k in live])
         deleted[name] = marked.filter(_DOOMED).drop(_DOOMED)
         surviving[name] = marked.filter(~F.col(_DOOMED)).drop(_DOOMED)
-    return Cascade(deleted, surviving)
+    untouched = {name: df for name, df in tables.items() if name not in surviving}
+    return Cascade(deleted, {**surviving, **untouched})
 
 
 def _mark(df: DataFrame, doomed: Sequence[tuple[ForeignKey, DataFrame]]) -> DataFrame:

@@ -242,11 +242,18 @@ def row_rules(spec: TableSpec) -> list[RowRule]:
 
 
 def validate(tables: dict[str, DataFrame], specs: Sequence[TableSpec]) -> DataFrame:
-    """One line per declared constraint of every table, as one query."""
+    """One line per declared constraint of every table, as one query.
+
+    A column whose type isn't the declared one gets a line for the values that
+    don't fit. Without any constraint the report is empty. `tables` has to hold
+    the parents of all foreign keys.
+    """
     reports = []
     for spec in specs:
         df = tables[spec.name]
-        rules = row_rules(spec)
+        declared = {c.name: c.type for c in spec.columns}
+        typed = [castable(f.name, declared[f.name]) for f in df.schema if declared.get(f.name, f.dataType) != f.dataType]
+        rules = [*typed, *row_rules(spec)]
         if rules:
             reports.append(report_rows(df, rules, spec.name))
         if spec.primary_key:
@@ -255,6 +262,8 @@ def validate(tables: dict[str, DataFrame], specs: Sequence[TableSpec]) -> DataFr
         reports += [
             report_foreign_key(df, key, tables[key.parent], spec.name) for key in spec.foreign_keys
         ]
+    if not reports:
+        return next(iter(tables.values())).sparkSession.createDataFrame([], REPORT_SCHEMA)
     return reduce(DataFrame.union, reports)
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame, SparkSession
@@ -53,7 +53,10 @@ def conform(df: DataFrame, spec: TableSpec, as_of: dt.datetime | None = None) ->
 
 def _cast(df: DataFrame, column: Column) -> SparkColumn:
     value = F.col(f"`{column.name}`")
-    if df.schema[column.name].dataType != column.type:
+    kind = df.schema[column.name].dataType
+    if kind != column.type:
+        if isinstance(kind, T.FractionalType) and isinstance(column.type, T.IntegralType):
+            value = F.round(value)  # half up, as for decimals; the range is judged after it
         value = to_type(value, column.type)
     return value if column.max_length is None else to_varchar(value, column.max_length)
 
@@ -65,7 +68,10 @@ def _default(column: Column, now: SparkColumn) -> SparkColumn:
 
 
 def append_rows(df: DataFrame, spec: TableSpec, path: str, as_of: dt.datetime | None = None) -> None:
-    """Conform `df` and add it to the table at `path`."""
+    """Conform `df` and add it to the table at `path`. Generated keys have to be there."""
+    missing = [c.name for c in spec.columns if c.generated and c.name not in df.columns]
+    if missing:
+        raise ValueError(f"{spec.name}: no {', '.join(missing)}; assign_keys numbers rows, last_key says where to start")
     conform(df, spec, as_of).write.mode("append").parquet(path)
 
 
@@ -78,8 +84,3 @@ def register(spark: SparkSession, name: str, df: DataFrame) -> DataFrame:
     """Give a query a name that SQL can use."""
     df.createOrReplaceTempView(name)
     return spark.table(name)
-
-
-def register_all(spark: SparkSession, tables: Iterable[tuple[str, DataFrame]]) -> None:
-    for name, df in tables:
-        register(spark, name, df)

@@ -2,8 +2,8 @@
 
 Tables are written to a folder of their own run, read back and checked. Only
 if every check passes is a manifest added, as one file, which is the single
-commit point: readers resolve tables through the newest manifest and never see
-a run without one. A reader who opens a run's folder directly has no such
+commit point: readers resolve each table through the newest manifest that names
+it and never see a run without one. A reader who opens a run's folder directly has no such
 guarantee.
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from espalier.operators.constraints import REPORT_SCHEMA, validate
-from espalier.sources.ingest import scan
+from espalier.operators.constraints import REPORT_SCHEMA, validate, validate_raw
+from espalier.sources.ingest import conform, scan
 from espalier.spec import TableSpec
 
 _WRITERS = 4
@@ -30,6 +30,7 @@ _MANIFEST = T.StructType(
         T.StructField("run", T.StringType()),
         T.StructField("table", T.StringType()),
         T.StructField("path", T.StringType()),
+        T.StructField("committed", T.StringType()),
     ]
 )
 
@@ -41,40 +42,71 @@ class Publication:
     audit: DataFrame
 
 
+def _shape(tables: dict[str, DataFrame], specs: Sequence[TableSpec]) -> list[tuple]:
+    """Findings that keep a batch from being written: columns that a table
+    doesn't declare, and values that don't fit the declared types."""
+    found = []
+    for spec in specs:
+        df, known = tables[spec.name], {c.name: c.type for c in spec.columns}
+        found += [(spec.name, c, "unknown_column", 1) for c in df.columns if c not in known]
+        if any(f.name in known and f.dataType != known[f.name] for f in df.schema):
+            found += [tuple(r) for r in validate_raw(df, spec).filter("n_violations > 0").collect()]
+    return found
+
+
 def publish(
-    spark: SparkSession, tables: dict[str, DataFrame], specs: Sequence[TableSpec], target: str
+    spark: SparkSession,
+    tables: dict[str, DataFrame],
+    specs: Sequence[TableSpec],
+    target: str,
+    parents: Mapping[str, DataFrame] | None = None,
 ) -> Publication:
-    """Write, audit, and commit only a clean batch."""
+    """Write, audit, and commit only a clean batch, shaped to `specs`.
+
+    `parents` are tables that the batch refers to but doesn't hold, such as
+    those of an earlier publication.
+    """
     run = f"{dt.datetime.now(dt.timezone.utc):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
     paths = {spec.name: f"{target}/runs/{run}/{spec.name}" for spec in specs}
+    misshapen = _shape(tables, specs)
+    if misshapen:
+        return Publication(run, False, spark.createDataFrame(misshapen, REPORT_SCHEMA))
+    tables = {spec.name: conform(tables[spec.name], spec) for spec in specs}
     # The tables don't depend on each other, so small ones needn't wait for large ones.
     with ThreadPoolExecutor(_WRITERS) as pool:
         list(pool.map(lambda spec: tables[spec.name].write.parquet(paths[spec.name]), specs))
     staged = {spec.name: scan(spark, paths[spec.name], spec) for spec in specs}
     # One row per declared constraint, so the report is as small as the specs.
-    findings = validate(staged, specs).collect()
+    findings = validate({**(parents or {}), **staged}, specs).collect()
     audit = spark.createDataFrame(findings, REPORT_SCHEMA)
     clean = all(row["n_violations"] == 0 for row in findings)
     if clean:
-        manifest = [(run, name, path) for name, path in paths.items()]
+        now = f"{dt.datetime.now(dt.timezone.utc):%Y%m%dT%H%M%S%f}"
+        manifest = [(run, name, path, now) for name, path in paths.items()]
         spark.createDataFrame(manifest, _MANIFEST).coalesce(1).write.mode("append").json(
             f"{target}/manifests"
         )
     return Publication(run, clean, audit)
 
 
-def current_run(spark: SparkSession, target: str) -> str | None:
-    """The newest committed run; runs are named by their start."""
+def _manifests(spark: SparkSession, target: str) -> DataFrame | None:
     try:
-        manifests = spark.read.schema(_MANIFEST).json(f"{target}/manifests")
+        return spark.read.schema(_MANIFEST).json(f"{target}/manifests")
     except AnalysisException:
         return None
-    return manifests.agg(F.max("run")).first()[0]
+
+
+def current_run(spark: SparkSession, target: str) -> str | None:
+    """The run that committed last."""
+    manifests = _manifests(spark, target)
+    return None if manifests is None else manifests.agg(F.max_by("run", F.struct("committed", "run"))).first()[0]
 
 
 def read_published(spark: SparkSession, target: str, spec: TableSpec) -> DataFrame:
-    """`spec`'s table as of the newest committed run."""
-    run = current_run(spark, target)
-    if run is None:
-        raise LookupError(f"nothing has been published under {target}")
-    return scan(spark, f"{target}/runs/{run}/{spec.name}", spec)
+    """`spec`'s table as of the last commit that names it."""
+    manifests = _manifests(spark, target)
+    newest = F.max_by("path", F.struct("committed", "run"))
+    path = None if manifests is None else manifests.filter(F.col("table") == spec.name).agg(newest).first()[0]
+    if path is None:
+        raise LookupError(f"{spec.name} has not been published under {target}")
+    return scan(spark, path, spec)

@@ -54,3 +54,10 @@ def test_start_in_the_middle(spark):
     got = cascade_delete(tables, keys, "mid", F.col("id") == 11)
     assert rows(got.deleted["leaf"], "name") == [("direct only",), ("none",)]
     assert "root" not in got.deleted
+
+
+def test_a_lone_root_is_deleted_from_and_others_stay(spark):
+    tables = {"a": spark.range(5), "b": spark.range(3)}
+    done = cascade_delete(tables, {}, "a", F.col("id") < 2)
+    assert done.deleted["a"].count() == 2 and done.surviving["a"].count() == 3
+    assert done.surviving["b"].count() == 3 and "b" not in done.deleted

@@ -29,3 +29,19 @@ def test_only_a_clean_batch_becomes_visible(spark, folder):
     assert rows(read_published(spark, folder, SEMESTER), "semester_number") == [(1,)]
     publish(spark, _batch(spark, 2), specs, folder)
     assert rows(read_published(spark, folder, SEMESTER), "semester_number") == [(2,)]
+
+
+def test_a_misnamed_column_is_a_finding(spark, folder):
+    batch = _batch(spark, 1)
+    batch["semesters"] = batch["semesters"].withColumnRenamed("academic_title", "title")
+    found = publish(spark, batch, [BRANCH, SEMESTER], folder)
+    assert not found.committed and current_run(spark, folder) is None
+    assert [tuple(r) for r in found.audit.collect()] == [("semesters", "title", "unknown_column", 1)]
+
+
+def test_each_table_is_read_from_the_last_commit_that_names_it(spark, folder):
+    batch = _batch(spark, 1)
+    assert publish(spark, {"branches": batch["branches"]}, [BRANCH], folder).committed
+    parents = {"branches": read_published(spark, folder, BRANCH)}
+    assert publish(spark, {"semesters": batch["semesters"]}, [SEMESTER], folder, parents).committed
+    assert read_published(spark, folder, BRANCH).count() == read_published(spark, folder, SEMESTER).count() == 1

@@ -65,3 +65,14 @@ def test_domain_order_is_not_alphabetical(spark):
     ranked = df.select("s", IMPORTANCE.rank(F.col("s")).alias("r")).orderBy(F.col("r").asc_nulls_last(), "s")
     assert [tuple(r) for r in ranked.collect()] == [
         ("CRITICAL", 1), ("HIGH", 2), ("MEDIUM", 3), ("LOW", 4), (None, None), ("OTHER", None)]
+
+
+def test_fractions_round_into_integers(spark):
+    from espalier.sources.ingest import conform
+    from espalier.spec import Column, TableSpec
+
+    spec = TableSpec("t", (Column("v", T.IntegerType()),))
+    loaded = conform(spark.createDataFrame([(1.7,), (2.5,), (-0.5,), (None,)], "v double"), spec)
+    assert [r.v for r in loaded.collect()] == [2, 3, -1, None]
+    with pytest.raises(PySparkException, match="not a int"):
+        conform(spark.createDataFrame([(2147483647.5,)], "v double"), spec).collect()
