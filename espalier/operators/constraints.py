@@ -156,6 +156,42 @@ def _orphan_counts(child: DataFrame, columns: Sequence[str], parent: DataFrame,
     return used.join(known, match, "left_anti")
 
 
+def report_key(
+    parent: DataFrame,
+    columns: Sequence[str],
+    table: str,
+    uniques: Sequence[UniqueRule],
+    children: Sequence[tuple[str, DataFrame, ForeignKey]],
+) -> DataFrame:
+    """All rules on one key of `parent`, its own and those of its children
+    `(table, rows, key)`, from one grouping of parent and child keys."""
+    slots = [f"__k{i}" for i in range(len(columns))]
+    sides = [parent.select(*[_c(c).alias(k) for c, k in zip(columns, slots)], F.lit(0).alias("__side"))]
+    for i, (_, rows, key) in enumerate(children):
+        held = rows.filter(~_any_null(key.columns))
+        sides.append(held.select(*[_c(c).alias(k) for c, k in zip(key.columns, slots)], F.lit(i + 1).alias("__side")))
+    counts = [F.count_if(F.col("__side") == i).alias(f"__n{i}") for i in range(len(sides))]
+    grouped = reduce(DataFrame.union, sides).groupBy(*slots).agg(*counts)
+    own = F.col("__n0")
+    lines, sums = [], []
+    for rule in uniques:
+        incomplete = _any_null(slots)
+        broken = (own > 1) | incomplete if rule.required else (own > 1) & ~incomplete
+        sums.append(F.sum(F.when(broken, own)))
+        lines.append((table, rule.name, rule.kind))
+    for i, (child, _, key) in enumerate(children):
+        sums.append(F.sum(F.when(own == 0, F.col(f"__n{i + 1}"))))
+        lines.append((child, f"{','.join(key.columns)}->{key.parent}", "foreign_key"))
+    total = grouped.agg(*[F.coalesce(s, F.lit(0)).cast("long").alias(f"__s{i}") for i, s in enumerate(sums)])
+    structs = [
+        F.struct(
+            F.lit(t).alias("table"), F.lit(n).alias("constraint"), F.lit(k).alias("kind"), F.col(f"__s{i}").alias("n_violations")
+        )
+        for i, (t, n, k) in enumerate(lines)
+    ]
+    return total.select(F.inline(F.array(*structs)))
+
+
 def report_foreign_key(child: DataFrame, key: ForeignKey, parent: DataFrame, table: str) -> DataFrame:
     orphans = _orphan_counts(child, key.columns, parent, key.parent_columns)
     return _line(orphans, table, f"{','.join(key.columns)}->{key.parent}", "foreign_key")
@@ -246,9 +282,12 @@ def validate(tables: dict[str, DataFrame], specs: Sequence[TableSpec]) -> DataFr
 
     A column whose type isn't the declared one gets a line for the values that
     don't fit. Without any constraint the report is empty. `tables` has to hold
-    the parents of all foreign keys.
+    the parents of all foreign keys. A key and all references to it are judged
+    from one grouping.
     """
     reports = []
+    uniques: dict[tuple[str, tuple[str, ...]], list[UniqueRule]] = {}
+    children: dict[tuple[str, tuple[str, ...]], list[tuple[str, DataFrame, ForeignKey]]] = {}
     for spec in specs:
         df = tables[spec.name]
         declared = {c.name: c.type for c in spec.columns}
@@ -256,12 +295,14 @@ def validate(tables: dict[str, DataFrame], specs: Sequence[TableSpec]) -> DataFr
         rules = [*typed, *row_rules(spec)]
         if rules:
             reports.append(report_rows(df, rules, spec.name))
-        if spec.primary_key:
-            reports.append(report_unique(df, UniqueRule(spec.primary_key, required=True), spec.name))
-        reports += [report_unique(df, UniqueRule(columns), spec.name) for columns in spec.unique]
-        reports += [
-            report_foreign_key(df, key, tables[key.parent], spec.name) for key in spec.foreign_keys
-        ]
+        own = [UniqueRule(spec.primary_key, required=True)] if spec.primary_key else []
+        for rule in (*own, *[UniqueRule(columns) for columns in spec.unique]):
+            uniques.setdefault((spec.name, rule.columns), []).append(rule)
+        for key in spec.foreign_keys:
+            children.setdefault((key.parent, key.parent_columns), []).append((spec.name, df, key))
+    for table, columns in dict.fromkeys((*uniques, *children)):
+        at = (table, columns)
+        reports.append(report_key(tables[table], columns, table, uniques.get(at, ()), children.get(at, ())))
     if not reports:
         return next(iter(tables.values())).sparkSession.createDataFrame([], REPORT_SCHEMA)
     return reduce(DataFrame.union, reports)

@@ -3,11 +3,10 @@
 Columns are named `level.column`, so that levels may use the same names.
 
 Joins start at the small end. The ancestors of a level are joined first and
-meet the next, larger level once, which keeps the leaf table to one exchange.
-Ancestors are broadcast as long as they have been counted to be few: Spark's
-own estimate for a chain of joins is the product of the sizes, so it would
-shuffle the leaf table even for tiny ancestors. Beyond the bound the join is
-Spark's choice, and skewed partitions of the large side are split at run time.
+meet the next, larger level once, so each join of leaf rows has one exchange of
+them at most. Building a question starts no job. Which side is broadcast is
+Spark's choice, by the sizes that adaptive execution measures, and skewed
+partitions of the large side are split at run time.
 """
 
 from __future__ import annotations
@@ -19,7 +18,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from espalier.sizes import few_rows
 from espalier.spec import names
 
 
@@ -28,8 +26,9 @@ class Level:
     """One table of the chain.
 
     `key` identifies its rows and `parent_key` holds the key of the level
-    above. Set `unique=False` where rows may repeat a key; counts then take
-    each key once.
+    above. Set `unique=False` where rows may repeat a key below one parent;
+    counts then take each key once. A key may hang below one parent only:
+    `summary` counts it once below each, `summary_plain` once in all.
     """
 
     name: str
@@ -46,10 +45,6 @@ class Level:
     def parents(self) -> tuple[str, ...]:
         return names(self.parent_key)
 
-# Spark's size estimate is exact for one table and good enough for two; from
-# three ancestors on they are counted.
-_COUNT_FROM = 3
-
 
 def _ref(name: str) -> Column:
     return F.col(f"`{name}`")
@@ -59,7 +54,6 @@ class Hierarchy:
     def __init__(self, levels: Sequence[Level]) -> None:
         self.levels = list(levels)
         self._chains: list[DataFrame] = []
-        self._few: dict[int, bool] = {}
 
     # --- rows ------------------------------------------------------------
 
@@ -70,21 +64,26 @@ class Hierarchy:
         each lowest parent without leaves. Higher nodes without children don't
         appear.
 
-        Equal to a left join of the leaves, but made of an inner join and an
-        anti join. A left join can't split a parent that holds a large share of
-        the leaves; the inner join can, and the anti join sees each parent key
-        once.
+        Equal to a left join of the leaves. Keys of parents without leaves are
+        found by an anti join that sees each key once, and join the leaves as
+        stubs; both then meet the ancestors in one inner join. A left join can't
+        split a parent that holds a large share of the leaves, an inner one can.
         """
-        leaf = self.levels[-1]
-        parents = self._down_to(len(self.levels) - 2)
-        leaves = self._named(leaf)
-        matched = self._down_to(len(self.levels) - 1)
-        used = leaf.df.select(*[_ref(p).alias(f"__used{i}") for i, p in enumerate(leaf.parents)]).distinct()
-        match = [_ref(k) == F.col(f"__used{i}") for i, k in enumerate(self._keys(len(self.levels) - 2))]
-        childless = parents.join(used, match, "left_anti").select(
-            "*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in leaves.schema]
-        )
-        return self._show(matched.unionByName(childless), columns, order_by)
+        leaf, parent = self.levels[-1], self.levels[-2]
+        ups = [f"__up{i}" for i in range(len(leaf.parents))]
+        whole = reduce(lambda a, b: a & b, [_ref(p).isNotNull() for p in leaf.parents])
+        named = self._named(leaf)
+        leaves = named.select("*", *[_ref(f"{leaf.name}.{p}").alias(up) for p, up in zip(leaf.parents, ups)])
+        leaves = leaves.filter(reduce(lambda a, b: a & b, [F.col(up).isNotNull() for up in ups]))
+        used = leaf.df.filter(whole).select(*[_ref(p).alias(f"__used{i}") for i, p in enumerate(leaf.parents)])
+        keys = parent.df.select(*[_ref(k).alias(up) for k, up in zip(parent.keys, ups, strict=True)])
+        absent = [F.col(up) == F.col(f"__used{i}") for i, up in enumerate(ups)]
+        # A parent whose key is NULL has no leaves, and keeps its row.
+        stubs = keys.join(used.distinct(), absent, "left_anti").distinct()
+        stubs = stubs.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in named.schema], *ups)
+        link = [F.col(up).eqNullSafe(_ref(k)) for up, k in zip(ups, self._keys(len(self.levels) - 2))]
+        rows = leaves.unionByName(stubs).join(self._down_to(len(self.levels) - 2), link).drop(*ups)
+        return self._show(rows, columns, order_by)
 
     def flagged(
         self, predicate: Column, columns: Mapping[str, str] | None = None, order_by: Iterable[str] = ()
@@ -94,7 +93,7 @@ class Hierarchy:
         last = len(self.levels) - 1
         leaf = self.levels[last]
         leaves = self._named(leaf, leaf.df.filter(predicate))
-        return self._show(leaves.join(self._above(last), self._link(last)), columns, order_by)
+        return self._show(leaves.join(self._down_to(last - 1), self._link(last)), columns, order_by)
 
     def children(
         self,
@@ -125,7 +124,8 @@ class Hierarchy:
         parent before it meets that parent, so no join multiplies rows.
         `counts` names the outputs by level, and by `flag`; the default is
         `n_<level>` and `n_flagged`. `merge_equal` adds up nodes that agree in
-        all of `columns`, as grouping by these columns alone would.
+        all of `columns`, as grouping by these columns alone would; `order_by`
+        may then only name shown columns.
         """
         at = self._at(level)
         titles = self._titles(at, flag, counts)
@@ -136,12 +136,13 @@ class Hierarchy:
         totals = {out: F.coalesce(F.col(f"__n_{source}"), F.lit(0)) for source, out in titles.items()}
         picked = self._pick(columns, upto=at)
         if merge_equal:
-            ordered = [c for c in order_by if c not in picked.values()]
+            hidden = [c for c in order_by if c not in picked.values()]
+            if hidden:
+                raise ValueError(f"merged rows can't be sorted by {', '.join(hidden)}, which they don't show")
             groups = [_ref(source).alias(out) for out, source in picked.items()]
-            groups += [_ref(c) for c in ordered]
             merged = rows.groupBy(*groups).agg(*[F.sum(e).alias(out) for out, e in totals.items()])
             back = {source: out for out, source in picked.items()}
-            order = [_ref(back.get(c, c)).asc_nulls_last() for c in order_by]
+            order = [_ref(back[c]).asc_nulls_last() for c in order_by]
             if order:
                 merged = merged.orderBy(*order)
             return merged.select(*[_ref(c) for c in (*picked, *totals)])
@@ -214,20 +215,10 @@ class Hierarchy:
             i = len(self._chains)
             rows = self._named(self.levels[i])
             if i > 0:
-                rows = rows.join(self._above(i), self._link(i))
+                rows = rows.join(self._chains[i - 1], self._link(i))
             self._chains.append(rows)
         return self._chains[at]
 
-    def _above(self, at: int) -> DataFrame:
-        """The ancestors of the level at `at`, marked for broadcast if few."""
-        chain = self._down_to(at - 1)
-        if at < _COUNT_FROM:
-            return chain
-        if at not in self._few:
-            # Levels grow downwards, so the first large one ends the counting.
-            self._few[at] = self._few.get(at - 1, True) and few_rows(chain)
-        return F.broadcast(chain) if self._few[at] else chain
-
     def _counts_below(self, at: int, flag: Column | None) -> DataFrame:
         """One row per key of the level at `at` that has children."""
         below: DataFrame | None = None

@@ -11,17 +11,21 @@ semester decides where it appears, and deleting a branch reaches it by both.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from dataclasses import dataclass
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from espalier.functions.trigram import Threshold
 from espalier.operators.cascade import Cascade, cascade_delete
 from espalier.operators.constraints import validate
 from espalier.operators.hierarchy import Hierarchy, Level
+from espalier.operators.policy import apply_policy
+from espalier.operators.search import fuzzy_search
+from espalier.sources.ingest import register
 from espalier.spec import Check, Column, Domain, ForeignKey, TableSpec
 
 # The closed vocabularies, in rank order.
@@ -30,6 +34,8 @@ DELIVERY = Domain("course_delivery_type", ("THEORY", "PRACTICAL", "SESSIONAL", "
 IMPORTANCE = Domain("importance_level_type", ("CRITICAL", "HIGH", "MEDIUM", "LOW"))
 FREQUENCY = Domain("exam_frequency_type", ("VERY_FREQUENT", "FREQUENT", "OCCASIONAL"))
 BOOK_TYPE = Domain("book_category_type", ("TEXT_BOOK", "REFERENCE_BOOK"))
+# The columns that title search reads.
+TITLES = {"courses": "course_title", "topics": "topic_title"}
 
 _TEXT, _INT, _LONG = T.StringType(), T.IntegerType(), T.LongType()
 _TEXTS = T.ArrayType(_TEXT)
@@ -301,6 +307,32 @@ class Catalog:
             "courses", F.col("is_high_yield"), columns, counts, order if ordered else (), merge_equal=True
         )
 
+    def search_titles(self, table: str, text: str, threshold: Threshold = Threshold()) -> DataFrame:
+        """Courses or topics whose title is like `text`, with both trigram counts.
+
+        One pass over the titles; for many searches store a `trigram_index` of
+        them once and use `index_search`.
+        """
+        return fuzzy_search(self.tables[table], TITLES[table], text, threshold)
+
+    def seen_through(self, policies: Mapping[str, Sequence[SparkColumn | bool]]) -> Catalog:
+        """The catalogue as a reader sees it: of the tables named, only rows that
+        one of their policies admits; other tables are open."""
+        seen = {name: apply_policy(self.tables[name], *admitted) for name, admitted in policies.items()}
+        return replace(self, tables={**self.tables, **seen})
+
+    def register(self, spark: SparkSession, prefix: str = "") -> dict[str, str]:
+        """Give the four questions names that SQL can use; the names by question."""
+        asked = {
+            "outline": self.outline(),
+            "high_yield_topics": self.high_yield_topics(),
+            "lab_curriculum": self.lab_curriculum(),
+            "subject_summary": self.subject_summary(),
+        }
+        for question, rows in asked.items():
+            register(spark, prefix + question, rows)
+        return {question: prefix + question for question in asked}
+
     def audit(self) -> DataFrame:
         """One line per declared constraint of all tables."""
         return validate(dict(self.tables), list(self.specs.values()))

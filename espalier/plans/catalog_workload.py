@@ -1,8 +1,8 @@
 """The catalogue's questions over tables derived from the star schema.
 
-region gives the branches, nation the semesters, customer the courses, urgent
-orders the units, their lines the topics; low-priority orders are experiments,
-high-priority ones books, and parts of size 7 and 8 the electives.
+region gives the branches, nation the semesters, customer the courses, every
+order a unit, an experiment and a book, every line a topic, and every part an
+elective; parts of other sizes than 7 and 8 break a rule, which the audit shows.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from espalier.operators.keys import assign_keys
 from espalier.plans.catalog import CATEGORY, DELIVERY, FREQUENCY, IMPORTANCE, Catalog, catalog_specs
 from espalier.plans.star import table
-from espalier.plans.workload import query, sql_audit_lines
+from espalier.plans.workload import query, sql_audit_lines, sql_trigrams
 from espalier.sources.ingest import conform
 from espalier.spec import Domain
 
@@ -27,20 +27,29 @@ def _one_of(domain: Domain, number: str) -> Column:
     return F.get(F.array(*[F.lit(v) for v in domain.values]), (F.col(number) % len(domain.values)).cast("int"))
 
 
+# Topics that were numbered, by session and folder. Numbering sorts and stores
+# every line, so a session does it once for a folder, whose tables don't change.
+_NUMBERED: dict[tuple[str, int, str], DataFrame] = {}
+_TOPIC_ORDER = ["unit_id", "topic_title", "exam_tips", "importance_level", "is_high_yield"]
+
+
+def _numbered(spark: SparkSession, folder: str, topics: DataFrame) -> DataFrame:
+    at = (spark.sparkContext.applicationId, id(spark), folder)
+    if at not in _NUMBERED:
+        _NUMBERED[at] = assign_keys(topics, _TOPIC_ORDER)
+    return _NUMBERED[at]
+
+
 def derive(spark: SparkSession, folder: str, with_topics: bool = True) -> Catalog:
-    """`with_topics=False` saves numbering them where nobody asks for topics."""
+    """`with_topics=False` leaves topics without ids, where nobody asks for them."""
 
     def get(name: str) -> DataFrame:
         return table(spark, folder, name)
 
     nations = get("nation").join(get("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     orders = get("orders")
-    urgent = orders.filter(F.col("o_orderpriority") == "1-URGENT")
-    lines = (
-        get("lineitem")
-        .join(urgent.select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
-        .join(get("part").select("p_partkey", "p_name", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-    )
+    parts = get("part").select("p_partkey", "p_name", "p_brand")
+    lines = get("lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey"))
     topics = lines.select(
         F.col("l_orderkey").alias("unit_id"),
         F.concat_ws(" ", "p_name", F.col("l_partkey").cast("string")).alias("topic_title"),
@@ -52,8 +61,6 @@ def derive(spark: SparkSession, folder: str, with_topics: bool = True) -> Catalo
         F.split("p_name", " ").alias("key_concepts"),
         F.col("l_suppkey").cast("string").alias("exam_tips"),
     )
-    low = orders.filter(F.col("o_orderpriority") == "5-LOW")
-    high = orders.filter(F.col("o_orderpriority") == "2-HIGH")
     raw = {
         "branches": get("region").select(
             F.col("r_name").alias("id"),
@@ -80,7 +87,7 @@ def derive(spark: SparkSession, folder: str, with_topics: bool = True) -> Catalo
             _one_of(DELIVERY, "c_custkey").alias("delivery_type"),
             ((F.col("c_custkey") % 9 + 1) / 2).alias("credits"),
         ),
-        "course_units": urgent.select(
+        "course_units": orders.select(
             F.col("o_orderkey").alias("id"),
             F.col("o_custkey").alias("course_id"),
             F.col("o_orderkey").cast("int").alias("unit_number"),
@@ -88,22 +95,20 @@ def derive(spark: SparkSession, folder: str, with_topics: bool = True) -> Catalo
             (F.col("o_orderkey") % 12).cast("int").alias("lecture_hours"),
         ),
         "topics": topics,
-        "lab_experiments": low.select(
+        "lab_experiments": orders.select(
             F.col("o_orderkey").alias("id"),
             F.col("o_custkey").alias("course_id"),
             F.col("o_orderkey").cast("int").alias("experiment_number"),
             F.concat(F.lit("Experiment "), F.col("o_orderkey").cast("string")).alias("title"),
             F.col("o_orderstatus").alias("description"),
         ),
-        "recommended_books": high.select(
+        "recommended_books": orders.select(
             F.col("o_orderkey").alias("id"),
             F.col("o_custkey").alias("course_id"),
             F.when(F.col("o_orderkey") % 2 == 0, "TEXT_BOOK").otherwise("REFERENCE_BOOK").alias("book_type"),
             F.concat(F.lit("Volume "), F.col("o_orderkey").cast("string")).alias("title"),
         ),
-        "open_electives": get("part")
-        .filter(F.col("p_size").isin(7, 8))
-        .select(
+        "open_electives": get("part").select(
             F.col("p_partkey").alias("id"),
             F.col("p_size").alias("semester_number"),
             F.col("p_type").alias("elective_group"),
@@ -114,8 +119,7 @@ def derive(spark: SparkSession, folder: str, with_topics: bool = True) -> Catalo
     }
     tables = {name: conform(df, SPECS[name], _AS_OF) for name, df in raw.items()}
     if with_topics:
-        order = ["unit_id", "topic_title", "exam_tips", "importance_level", "is_high_yield"]
-        tables["topics"] = assign_keys(tables["topics"], order)
+        tables["topics"] = _numbered(spark, folder, tables["topics"])
     return Catalog(tables, SPECS)
 
 
@@ -132,10 +136,10 @@ _COURSE = f"""
              {_pick(DELIVERY, 'c_custkey')} AS delivery_type, (c_custkey % 9 + 1) / 2.0::DOUBLE AS credits
       FROM customer, nation, region WHERE n_nationkey = c_nationkey AND r_regionkey = n_regionkey)
 """
-_UNIT = "unit AS (SELECT o_orderkey AS unit, o_custkey AS course, o_orderstatus FROM orders WHERE o_orderpriority = '1-URGENT')"
+_UNIT = "unit AS (SELECT o_orderkey AS unit, o_custkey AS course, o_orderstatus FROM orders)"
 _TOPIC = f"""
     topic AS (
-      SELECT l_orderkey AS unit, p_name || ' ' || l_partkey AS topic_title, p_brand, p_name,
+      SELECT row_number() OVER () AS id, l_orderkey AS unit, p_name || ' ' || l_partkey AS topic_title, p_brand, p_name,
              CASE WHEN l_linestatus = 'O' THEN l_returnflag = 'R' END AS flag,
              {_pick(IMPORTANCE, 'l_linenumber')} AS importance_level,
              {_pick(FREQUENCY, 'l_linenumber')} AS exam_frequency, l_suppkey::VARCHAR AS exam_tips
@@ -178,7 +182,7 @@ def catalog_high_yield(spark: SparkSession, folder: str) -> DataFrame:
     SELECT branch_name, sem AS semester_number, course_code, course_title, credits,
            CAST(o_orderkey AS INTEGER) AS experiment_number, 'Experiment ' || o_orderkey AS experiment_title,
            o_orderstatus AS experiment_description, NULL::VARCHAR AS tools_used
-    FROM orders JOIN course ON course = o_custkey WHERE o_orderpriority = '5-LOW'
+    FROM orders JOIN course ON course = o_custkey
     """
 )
 def catalog_labs(spark: SparkSession, folder: str) -> DataFrame:
@@ -187,16 +191,13 @@ def catalog_labs(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     f"""
-    WITH {_COURSE}, {_UNIT}, {_TOPIC},
-    per_unit AS (SELECT unit, count(*) AS topics, count(*) FILTER (WHERE flag) AS flagged FROM topic GROUP BY unit),
-    per_course AS (
-      SELECT course, count(*) AS units, sum(coalesce(topics, 0)) AS topics, sum(coalesce(flagged, 0)) AS flagged
-      FROM unit LEFT JOIN per_unit USING (unit) GROUP BY course)
+    WITH {_COURSE}, {_UNIT}, {_TOPIC}
     SELECT branch_code AS branch, sem, course_code, course_title, category, delivery_type, credits,
            30 AS ia_marks, 70 AS ete_marks, 100 AS total_marks,
-           CAST(coalesce(units, 0) AS BIGINT) AS total_units, CAST(coalesce(topics, 0) AS BIGINT) AS total_topics,
-           CAST(coalesce(flagged, 0) AS BIGINT) AS high_yield_topics_count
-    FROM course LEFT JOIN per_course USING (course)
+           count(DISTINCT u.unit) AS total_units, count(DISTINCT t.id) AS total_topics,
+           count(DISTINCT CASE WHEN t.flag THEN t.id END) AS high_yield_topics_count
+    FROM course c LEFT JOIN unit u ON u.course = c.course LEFT JOIN topic t ON t.unit = u.unit
+    GROUP BY ALL
     """
 )
 def catalog_summary(spark: SparkSession, folder: str) -> DataFrame:
@@ -222,30 +223,30 @@ _SQL_TABLES = f"""
       SELECT unit AS id, course AS course_id, unit AS unit_number, o_orderstatus AS unit_title, unit % 12 AS lecture_hours
       FROM unit),
     topics AS (
-      SELECT row_number() OVER () AS id, unit AS unit_id, topic_title, importance_level, exam_frequency,
+      SELECT id, unit AS unit_id, topic_title, importance_level, exam_frequency,
              now() AS created_at
-      FROM topic WHERE unit IN (SELECT unit FROM unit)),
+      FROM topic),
     lab_experiments AS (
       SELECT o_orderkey AS id, o_custkey AS course_id, o_orderkey AS experiment_number,
              'Experiment ' || o_orderkey AS title, o_orderstatus AS description, NULL::VARCHAR AS tools_used
-      FROM orders WHERE o_orderpriority = '5-LOW'),
+      FROM orders),
     recommended_books AS (
       SELECT o_orderkey AS id, o_custkey AS course_id,
              CASE WHEN o_orderkey % 2 = 0 THEN 'TEXT_BOOK' ELSE 'REFERENCE_BOOK' END AS book_type,
              'Volume ' || o_orderkey AS title, NULL::VARCHAR AS authors, NULL::VARCHAR AS publisher,
              NULL::VARCHAR AS edition_year
-      FROM orders WHERE o_orderpriority = '2-HIGH'),
+      FROM orders),
     open_electives AS (
       SELECT p_partkey AS id, p_size AS semester_number, p_type AS elective_group, 'P' || p_partkey AS subject_code,
              p_name AS title, p_brand AS department
-      FROM part WHERE p_size IN (7, 8))
+      FROM part)
 """
 
 
 @query(_SQL_TABLES + "\nUNION ALL\n".join(line for spec in SPECS.values() for line in sql_audit_lines(spec)))
 def catalog_audit(spark: SparkSession, folder: str) -> DataFrame:
     """Every constraint of the eight tables after one branch was removed without
-    its dependants: only the two keys that point to it are broken."""
+    its dependants: the two keys that point to it are broken, and the rule on electives."""
     whole = derive(spark, folder)
     left = whole.tables["branches"].filter(F.col("id") != "ASIA")
     return Catalog({**whole.tables, "branches": left}, SPECS).audit()
@@ -255,15 +256,83 @@ def catalog_audit(spark: SparkSession, folder: str) -> DataFrame:
     """
     WITH c AS (SELECT c_custkey FROM customer, nation, region
                WHERE n_nationkey = c_nationkey AND r_regionkey = n_regionkey AND r_name = 'ASIA'),
-    o AS (SELECT o_orderkey, o_orderpriority AS p FROM orders WHERE o_custkey IN (FROM c))
+    o AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (FROM c))
     SELECT 'branches' AS "table", 1 AS n_deleted
     UNION ALL SELECT 'semesters', count(*) FROM nation, region WHERE r_regionkey = n_regionkey AND r_name = 'ASIA'
     UNION ALL SELECT 'courses', count(*) FROM c
-    UNION ALL SELECT 'course_units', count(*) FROM o WHERE p = '1-URGENT'
-    UNION ALL SELECT 'lab_experiments', count(*) FROM o WHERE p = '5-LOW'
-    UNION ALL SELECT 'recommended_books', count(*) FROM o WHERE p = '2-HIGH'
-    UNION ALL SELECT 'topics', count(*) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM o WHERE p = '1-URGENT')
+    UNION ALL SELECT 'course_units', count(*) FROM o
+    UNION ALL SELECT 'lab_experiments', count(*) FROM o
+    UNION ALL SELECT 'recommended_books', count(*) FROM o
+    UNION ALL SELECT 'topics', count(*) FROM lineitem WHERE l_orderkey IN (FROM o)
     """
 )
 def catalog_cascade(spark: SparkSession, folder: str) -> DataFrame:
     return derive(spark, folder).without_branches(F.col("id") == "ASIA", durable=True).counts()
+
+
+@query(
+    f"""
+    WITH {_TOPIC}
+    SELECT row_number() OVER (ORDER BY unit, topic_title, exam_tips, importance_level, flag) AS id, unit AS unit_id,
+           topic_title, exam_tips, importance_level, flag::VARCHAR AS is_high_yield
+    FROM topic
+    """
+)
+def catalog_topic_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """The ids that topics are given, next to what they are numbered by."""
+    topics = derive(spark, folder).tables["topics"].select("id", *_TOPIC_ORDER)
+    return topics.withColumn("is_high_yield", F.col("is_high_yield").cast("string"))
+
+
+def _sql_similar(titles: str, text: str) -> str:
+    return f"""
+        WITH {_COURSE}, {_TOPIC},
+        titles AS (SELECT key, title, {sql_trigrams('title')} AS t FROM ({titles})),
+        wanted AS (SELECT {sql_trigrams(repr(text))} AS w),
+        scored AS (SELECT key, title, len(list_intersect(t, w)) AS s, len(list_distinct(t || w)) AS c FROM titles, wanted)
+        SELECT key, title, CAST(s AS INTEGER) AS shared, CAST(c AS INTEGER) AS combined FROM scored WHERE s * 10 >= c * 3
+    """
+
+
+@query(_sql_similar("SELECT course AS key, course_title AS title FROM course", "bulding custmer"))
+def catalog_course_search(spark: SparkSession, folder: str) -> DataFrame:
+    found = derive(spark, folder, with_topics=False).search_titles("courses", "bulding custmer")
+    return found.select(F.col("id").alias("key"), F.col("course_title").alias("title"), "shared", "combined")
+
+
+@query(_sql_similar("SELECT unit AS key, topic_title AS title FROM topic", "red wigdet"))
+def catalog_topic_search(spark: SparkSession, folder: str) -> DataFrame:
+    found = derive(spark, folder, with_topics=False).search_titles("topics", "red wigdet")
+    return found.select(F.col("unit_id").alias("key"), F.col("topic_title").alias("title"), "shared", "combined")
+
+
+@query(
+    f"""
+    WITH {_COURSE}
+    SELECT branch_name, count(*) AS n_experiments FROM orders JOIN course ON course = o_custkey
+    WHERE sem <= 3 AND category IN ('PCC', 'PEC') GROUP BY branch_name
+    """
+)
+def catalog_policy(spark: SparkSession, folder: str) -> DataFrame:
+    """Readers see the first semesters and two categories of courses; answers hold nothing else."""
+    policies = {"semesters": [F.col("semester_number") <= 3], "courses": [F.col("category") == "PCC", F.col("category") == "PEC"]}
+    seen = derive(spark, folder, with_topics=False).seen_through(policies)
+    return seen.lab_curriculum().groupBy("branch_name").agg(F.count(F.lit(1)).alias("n_experiments"))
+
+
+@query(
+    f"""
+    WITH {_COURSE}
+    SELECT branch_code AS branch, CAST(count(*) AS BIGINT) AS n_courses,
+           CAST((SELECT count(*) FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN course k ON k.course = o_custkey
+                 WHERE k.branch_code = course.branch_code) AS BIGINT) AS n_topics
+    FROM course GROUP BY branch_code
+    """
+)
+def catalog_views(spark: SparkSession, folder: str) -> DataFrame:
+    """The standing questions under their names, asked in SQL."""
+    names = derive(spark, folder).register(spark, prefix="catalog_")
+    return spark.sql(
+        "SELECT branch, count(*) AS n_courses, sum(total_topics) AS n_topics FROM {view} GROUP BY branch",
+        view=spark.table(names["subject_summary"]),
+    )

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,7 @@ from espalier.operators.search import (
 )
 from espalier.operators.similarity import similarity_join, similarity_self_join
 from espalier.plans.star import EVENT, PRIORITY, STAR, sales, table
+from espalier.sources.append import append_checked as add_checked
 from espalier.sources.ingest import append_rows, conform, register, scan, write_table
 from espalier.sources.layout import spread, write_bucketed, write_clustered, write_subset
 from espalier.sources.publish import publish, read_published
@@ -490,6 +492,13 @@ _SQL_DOOMED = """
 """
 
 
+@query("SELECT 'customer' AS \"table\", count(*) AS n_deleted FROM customer WHERE c_mktsegment = 'BUILDING'")
+def cascade_lone_root(spark: SparkSession, folder: str) -> DataFrame:
+    """A table that nothing refers to."""
+    customers = {"customer": table(spark, folder, "customer")}
+    return cascade_delete(customers, {}, "customer", F.col("c_mktsegment") == "BUILDING").counts()
+
+
 @query(
     _SQL_DOOMED
     + """
@@ -745,6 +754,74 @@ def append_batch(spark: SparkSession, folder: str) -> DataFrame:
     return scan(spark, path, VENDOR).select("id", "s_suppkey")
 
 
+_LISTED = replace(
+    VENDOR,
+    name="listed",
+    unique=(("s_suppkey",),),
+    foreign_keys=(ForeignKey(("s_nationkey",), "nation", ("n_nationkey",)),),
+)
+
+
+def _as_vendors(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "customer").select(
+        F.col("c_custkey").alias("s_suppkey"), F.col("c_name").alias("s_name"), F.col("c_nationkey").alias("s_nationkey")
+    )
+
+
+def _sql_findings(**counts: str) -> str:
+    """Report lines of `_LISTED`; `counts` maps a kind to the rows that break it."""
+    lines = [(c, "not_null") for c in ("id", "s_suppkey", "s_name", "s_nationkey", "created_at")]
+    lines += [("s_name", "length"), ("degree", "length"), ("id", "primary_key"), ("s_suppkey", "unique")]
+    lines.append(("s_nationkey->nation", "foreign_key"))
+    return "\nUNION ALL\n".join(
+        f"""SELECT 'listed' AS "table", '{name}' AS "constraint", '{kind}' AS kind, {counts.get(kind, "0")}::BIGINT AS n_violations"""
+        for name, kind in lines
+    )
+
+
+@query(
+    _sql_findings(
+        primary_key="(SELECT count(*) FROM customer WHERE c_custkey IN (SELECT s_suppkey FROM supplier))",
+        unique="(SELECT count(*) FROM customer WHERE c_custkey IN (SELECT s_suppkey FROM supplier))",
+        foreign_key="(SELECT count(*) FROM customer WHERE c_nationkey = 3)",
+    )
+)
+def append_checked(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers come as vendors under keys that suppliers hold; one nation is unknown."""
+    nations = table(spark, folder, "nation")
+    first = table(spark, folder, "supplier").drop("s_acctbal").withColumn("id", F.col("s_suppkey") + 1)
+    path = fresh_path(spark, "listed")
+    add_checked(first, _LISTED, path, {"nation": nations}, as_of=_AS_OF)
+    more = _as_vendors(spark, folder).withColumn("id", F.col("s_suppkey") + 1)
+    return add_checked(more, _LISTED, path, {"nation": nations.filter("n_nationkey <> 3")}, as_of=_AS_OF).audit
+
+
+@query(ORACLE["append_batch"])
+def append_generated(spark: SparkSession, folder: str) -> DataFrame:
+    """The second batch comes without ids and is numbered after the first."""
+    first = table(spark, folder, "supplier").drop("s_acctbal").withColumn("id", F.col("s_suppkey") + 1)
+    path = fresh_path(spark, "vendors")
+    add_checked(first, VENDOR, path, as_of=_AS_OF)
+    add_checked(_as_vendors(spark, folder), VENDOR, path, order_by="s_suppkey", as_of=_AS_OF)
+    return scan(spark, path, VENDOR).select("id", "s_suppkey")
+
+
+_PRICED = TableSpec("priced", tuple(Declared(c, T.IntegerType()) for c in ("orderkey", "linenumber", "price")))
+
+
+@query(
+    """
+    SELECT CAST(l_orderkey AS INTEGER) AS orderkey, l_linenumber AS linenumber,
+           CAST(floor(l_extendedprice + 0.5) AS INTEGER) AS price
+    FROM lineitem
+    """
+)
+def integer_cast(spark: SparkSession, folder: str) -> DataFrame:
+    """Fractions load into whole numbers half up."""
+    lines = table(spark, folder, "lineitem")
+    return conform(lines.select(*[F.col(f"l_{c}").alias(c) for c in ("orderkey", "linenumber")], F.col("l_extendedprice").alias("price")), _PRICED)
+
+
 @query("SELECT s_suppkey, s_name, s_acctbal FROM supplier")
 def rebuild_table(spark: SparkSession, folder: str) -> DataFrame:
     """The same load twice leaves the content of one."""
@@ -773,6 +850,47 @@ def publish_and_read(spark: SparkSession, folder: str) -> DataFrame:
     return read_published(spark, target, STAR["orders"]).select("o_orderkey", "o_custkey", "o_totalprice")
 
 
+@query("SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey")
+def publish_two_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """Parents first, children in a batch of their own; then the roots once more."""
+    tables, _ = _star(spark, folder, "region", "nation", "customer")
+    target = fresh_path(spark, "published")
+
+    def read(name: str) -> DataFrame:
+        return read_published(spark, target, STAR[name])
+
+    publish(spark, {n: tables[n] for n in ("region", "nation")}, [STAR["region"], STAR["nation"]], target)
+    publish(spark, {"customer": tables["customer"]}, [STAR["customer"]], target, {"nation": read("nation")})
+    publish(spark, {"region": tables["region"]}, [STAR["region"]], target)
+    customers = read("customer").join(read("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return customers.join(read("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("c_custkey", "n_name", "r_name")
+
+
+@query("WITH nation AS (SELECT * FROM main.nation WHERE n_nationkey <> 3)" + _sql_audit("customer"))
+def publish_child_only(spark: SparkSession, folder: str) -> DataFrame:
+    """Children against published parents, of which one is missing."""
+    tables, _ = _star(spark, folder, "region", "nation", "customer")
+    target = fresh_path(spark, "published")
+    parents = {"region": tables["region"], "nation": tables["nation"].filter("n_nationkey <> 3")}
+    publish(spark, parents, [STAR["region"], STAR["nation"]], target)
+    known = {"nation": read_published(spark, target, STAR["nation"])}
+    return publish(spark, {"customer": tables["customer"]}, [STAR["customer"]], target, known).audit
+
+
+@query(
+    """
+    SELECT 'orders' AS "table", 'price' AS "constraint", 'unknown_column' AS kind, 1::BIGINT AS n_violations
+    UNION ALL SELECT 'orders', 'o_custkey', 'type', count(*) FROM orders WHERE o_orderstatus = 'P'
+    """
+)
+def publish_misnamed(spark: SparkSession, folder: str) -> DataFrame:
+    """A column under a wrong name and keys that aren't numbers: findings, no commit."""
+    orders = table(spark, folder, "orders").withColumnRenamed("o_totalprice", "price")
+    key = F.when(F.col("o_orderstatus") == "P", "none").otherwise(F.col("o_custkey").cast("string"))
+    done = publish(spark, {"orders": orders.withColumn("o_custkey", key)}, [STAR["orders"]], fresh_path(spark, "published"))
+    return done.audit
+
+
 # --- trigrams ------------------------------------------------------------
 
 _SQL_NAMES = f"names AS (SELECT p_name, {sql_trigrams('p_name')} AS t FROM (SELECT DISTINCT p_name FROM part))"
@@ -782,9 +900,14 @@ def _sql_wanted(text: str) -> str:
     return f"wanted AS (SELECT {sql_trigrams(repr(text))} AS w)"
 
 
+def _texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The test tables are kept in one file each, so their rows are dealt out."""
+    return spread(table(spark, folder, "documents").select("doc_id", "text"), 2 * spark.sparkContext.defaultParallelism)
+
+
 @query(f"SELECT doc_id, CAST(len({sql_trigrams('text')}) AS INTEGER) AS n_trigrams FROM documents")
 def trigram_count(spark: SparkSession, folder: str) -> DataFrame:
-    texts = spread(table(spark, folder, "documents").select("doc_id", "text"))
+    texts = _texts(spark, folder)
     return texts.select("doc_id", F.size(trigrams(F.col("text"))).alias("n_trigrams"))
 
 
@@ -834,7 +957,7 @@ def fuzzy_titles(spark: SparkSession, folder: str) -> DataFrame:
     """
 )
 def fuzzy_texts(spark: SparkSession, folder: str) -> DataFrame:
-    texts = spread(table(spark, folder, "documents").select("doc_id", "text"))
+    texts = _texts(spark, folder)
     return fuzzy_search(texts, "text", "the on that", Threshold(1, 20)).drop("text")
 
 

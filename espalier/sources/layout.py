@@ -55,11 +55,10 @@ def write_subset(df: DataFrame, predicate: Column, path: str) -> None:
     df.filter(predicate).write.mode("overwrite").parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a scan at least as many partitions as there are cores.
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Deal the rows out to `partitions` tasks.
 
-    For work that is heavy on CPU per row over a table kept in few files. A
-    table with enough splits of its own is left as it is, without an exchange.
+    For work that is heavy on CPU per row over a table kept in few files; it
+    costs an exchange of all rows. Without a number the table stays as it is.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+    return df if partitions is None else df.repartition(partitions)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from espalier.operators.constraints import REPORT_SCHEMA, validate, validate_raw
+from espalier.operators.constraints import REPORT_SCHEMA, report_rows, validate, validate_raw, within_length
 from espalier.sources.ingest import conform, scan
 from espalier.spec import TableSpec
 
@@ -42,15 +42,18 @@ class Publication:
     audit: DataFrame
 
 
-def _shape(tables: dict[str, DataFrame], specs: Sequence[TableSpec]) -> list[tuple]:
+def misshapen(tables: dict[str, DataFrame], specs: Sequence[TableSpec]) -> list[tuple]:
     """Findings that keep a batch from being written: columns that a table
-    doesn't declare, and values that don't fit the declared types."""
+    doesn't declare, and values that don't fit the declared types or lengths."""
     found = []
     for spec in specs:
         df, known = tables[spec.name], {c.name: c.type for c in spec.columns}
         found += [(spec.name, c, "unknown_column", 1) for c in df.columns if c not in known]
         if any(f.name in known and f.dataType != known[f.name] for f in df.schema):
             found += [tuple(r) for r in validate_raw(df, spec).filter("n_violations > 0").collect()]
+        bounded = [within_length(c.name, c.max_length) for c in spec.columns if c.max_length and c.name in df.columns]
+        if bounded:
+            found += [tuple(r) for r in report_rows(df, bounded, spec.name).filter("n_violations > 0").collect()]
     return found
 
 
@@ -68,9 +71,9 @@ def publish(
     """
     run = f"{dt.datetime.now(dt.timezone.utc):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
     paths = {spec.name: f"{target}/runs/{run}/{spec.name}" for spec in specs}
-    misshapen = _shape(tables, specs)
-    if misshapen:
-        return Publication(run, False, spark.createDataFrame(misshapen, REPORT_SCHEMA))
+    unfit = misshapen(tables, specs)
+    if unfit:
+        return Publication(run, False, spark.createDataFrame(unfit, REPORT_SCHEMA))
     tables = {spec.name: conform(tables[spec.name], spec) for spec in specs}
     # The tables don't depend on each other, so small ones needn't wait for large ones.
     with ThreadPoolExecutor(_WRITERS) as pool:

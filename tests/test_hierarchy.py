@@ -2,7 +2,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from espalier.operators.hierarchy import Hierarchy, Level
-from espalier.sizes import few_rows
 from tests.conftest import rows
 
 
@@ -105,5 +104,24 @@ def test_ambiguous_columns_must_be_named(tree):
         tree.full()
 
 
-def test_few_rows(spark):
-    assert few_rows(spark.range(10), 10) and not few_rows(spark.range(11), 10)
+def test_building_a_question_starts_no_job(spark, tree):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "")
+    try:
+        tree.full(COLS), tree.flagged(F.col("flag"), COLS), tree.summary("course", F.col("flag"), {"c": "course.title"})
+        assert list(tracker.getJobIdsForGroup("building")) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_full_with_null_and_repeated_parent_keys(spark):
+    top = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (2, "d"), (None, "e"), (None, "f")], "id int, t string")
+    leaf = spark.createDataFrame([(1, 10), (None, 11), (9, 12)], "up int, no int")
+    chain = Hierarchy([Level("top", top, "id", unique=False), Level("leaf", leaf, "no", "up")])
+    assert rows(chain.full({"t": "top.t", "no": "leaf.no"})) == [
+        ("a", 10), ("b", 10), ("c", None), ("d", None), ("e", None), ("f", None)]
+
+
+def test_merged_rows_are_not_sorted_by_hidden_columns(tree):
+    with pytest.raises(ValueError, match="don't show"):
+        tree.summary("course", None, {"b": "branch.title"}, order_by=["course.title"], merge_equal=True)

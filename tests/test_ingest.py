@@ -121,12 +121,10 @@ def test_subset_keeps_true_only(spark, folder):
     assert rows(spark.read.parquet(folder + "/s"), "id") == [(1,)]
 
 
-def test_spread_leaves_enough_partitions_alone(spark, folder):
-    spark.range(100).repartition(1).write.parquet(folder + "/one")
-    few = spark.read.parquet(folder + "/one")
-    assert spread(few).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
-    many = spark.range(100, numPartitions=64)
-    assert spread(many) is many
+def test_spread_deals_out_only_when_asked(spark):
+    df = spark.range(100, numPartitions=1)
+    assert spread(df) is df
+    assert spread(df, 16).select(F.spark_partition_id()).distinct().count() == 16
 
 
 def test_policies(spark):
