@@ -47,8 +47,9 @@ def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     )
     poor = marks.filter("poor").select("doc_id")
     cut = marks.filter("toxic and not coalesce(poor, false)").select("doc_id")
-    shorter = docs.join(cut, "doc_id", "left_semi").withColumn("text", F.substring_index("text", "\n", 1))
-    anew = token_rollup.token_counts(shorter, *how)
+    # Counted before the join, so that counts are exchanged and texts never are.
+    first_lines = docs.withColumn("text", F.substring_index("text", "\n", 1))
+    anew = token_rollup.token_counts(first_lines, *how).join(cut, "doc_id", "left_semi")
     changes = token_rollup.deletes(first.join(poor, "doc_id", "left_semi")).unionByName(
         token_rollup.revisions(first.join(cut, "doc_id", "left_semi"), anew)
     )
