@@ -75,8 +75,7 @@ def index_search(
         F.lit(n * threshold.under) >= F.col("set_size") * threshold.over
     )
     postings = index.filter(F.col("trigram").isin(wanted) & near)
-    # One row per trigram of the text.
-    found = {r["trigram"]: r["count"] for r in postings.groupBy("trigram").count().collect()}
+    found = _postings(postings)
     by_rarity = sorted(wanted, key=lambda t: (found.get(t, 0), t))
     needed = -(-n * threshold.over // threshold.under)
     rare, frequent = by_rarity[: n - needed + 1], by_rarity[n - needed + 1 :]
@@ -99,25 +98,27 @@ def index_search(
 def index_pattern_search(
     index: DataFrame, df: DataFrame, key: str, column: str, pattern: str
 ) -> DataFrame:
-    """`pattern_search` that first narrows `df` by the pattern's own trigrams.
+    """`pattern_search` that first narrows `df` by the pattern's rarest trigram.
 
-    Every title that matches holds all of them; the pattern itself is then
-    tested on the rows that are left. Without a whole trigram in the pattern,
-    all rows are tested.
+    Every title that matches holds it; the pattern itself is then tested on the
+    rows that are left, so the postings of the other trigrams are only counted.
+    Without a whole trigram in the pattern, all rows are tested.
     """
     wanted = sorted(set(_pattern_trigrams(_constant(df.sparkSession, F.lower(F.lit(pattern))))))
     if not wanted:
         return pattern_search(df, column, pattern)
-    candidates = (
-        index.filter(F.col("trigram").isin(wanted))
-        .groupBy(F.col(f"`{key}`").alias("__key"))
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .filter(F.col("__n") == len(wanted))
-    )
+    found = _postings(index.filter(F.col("trigram").isin(wanted)))
+    rarest = min(wanted, key=lambda t: (found.get(t, 0), t))
+    candidates = index.filter(F.col("trigram") == rarest).select(F.col(f"`{key}`").alias("__key"))
     narrowed = df.join(candidates, F.col(f"`{key}`") == F.col("__key"), "left_semi")
     return pattern_search(narrowed, column, pattern)
 
 
+def _postings(wanted: DataFrame) -> dict[str, int]:
+    """How many postings each wanted trigram has: one row per trigram of the text."""
+    return {r["trigram"]: r["count"] for r in wanted.groupBy("trigram").count().collect()}
+
+
 def _pattern_trigrams(pattern: str) -> Iterator[str]:
     """Trigrams that any match must hold. A run of letters and digits is padded
     only at an end where the pattern shows that the run really ends."""

@@ -7,7 +7,9 @@ of them lies within the first `size - ceil(t * size) + l` places of either set
 WWW 2008). Sets are matched on such a *chain*, their first shared trigrams in
 order. A chain starts as one trigram. Where more than `crowd` sets show a chain
 it is replaced by its extensions with one more trigram, so one frequent trigram
-doesn't gather a large share of the sets. Sets that may have nothing more in
+doesn't gather a large share of the sets. A longer chain has more extensions,
+so what counts as crowded doubles with each trigram; this also ends the
+refining, after as many steps as the sets can be halved. Sets that may have nothing more in
 common keep the ended chain as well. Whether a chain is crowded depends on the
 chain alone, so both sides agree, and every similar pair meets at exactly one
 chain: the first one, in order, that isn't extended.
@@ -26,9 +28,10 @@ from espalier.functions.once import with_once
 from espalier.functions.trigram import Threshold, codes, shared, trigrams
 
 CROWD = 5_000
-# Extending a crowded chain costs a few rows per set, against thousands of
-# candidates per set; much longer chains would no longer pay off.
-LONGEST_CHAIN = 5
+# How many times more sets it takes for a chain with one more trigram to be
+# crowded: extending costs a few rows per set, more with every trigram, against
+# thousands of candidates per set.
+_PATIENCE = 2
 # A set's bitmap has this many words of 64 bits.
 _WORDS = 4
 _NEXT = ","
@@ -75,6 +78,19 @@ class SimilarSets:
         )
         return across.unionByName(same).withColumnsRenamed({"title": "left_title", "other": "right_title"})
 
+    def classes(self) -> DataFrame:
+        """`side, title, class_title, n_links`, one row per title of a side: the
+        least title of its set, and how many other sets are similar to it."""
+        links = self.pairs.select(F.col("l_set").alias("set"), F.col("r_set").alias("other"))
+        links = links.unionByName(links.select(F.col("other").alias("set"), F.col("set").alias("other")))
+        if self.two_sided:
+            links = links.distinct()
+        numbers = links.groupBy("set").agg(F.count(F.lit(1)).alias("n_links"))
+        named = self.members.groupBy("set").agg(F.min("title").alias("class_title")).join(numbers, "set", "left")
+        return self.members.join(named, "set").select(
+            "side", "title", "class_title", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")
+        )
+
 
 def similar_sets(
     left: DataFrame,
@@ -166,19 +182,17 @@ def _ordered_sets(titles: DataFrame) -> DataFrame:
 def _signatures(sets: DataFrame, threshold: Threshold, crowd: int) -> DataFrame:
     """The chains under which each set is found: one row per set and chain."""
     spare = F.col("size") - threshold.share_of(F.col("size"))
-    sets = sets.drop("set")
+    carried = [c for c in sets.columns if c not in ("set", "tokens")]
     level = sets.withColumn("spare", spare).select(
-        "*", F.posexplode(F.slice("tokens", 1, F.col("spare") + 1)).alias("pos", "token")
+        *carried, "spare", F.posexplode(F.slice("tokens", 1, F.col("spare") + 1)).alias("pos", "token")
     )
     level = level.withColumn("chain", F.col("token").cast("string")).drop("token")
-    kept = []
-    for length in range(1, LONGEST_CHAIN + 1):
+    kept, length = [], 1
+    while True:
         here = level.withColumn("length", F.lit(length)).withColumn("ended", F.lit(False))
-        if length == LONGEST_CHAIN:
-            kept.append(here)
-            break
+        most = crowd * _PATIENCE ** (length - 1)
         crowded = materialize(
-            level.groupBy("chain").count().filter(F.col("count") > crowd).select("chain"), "crowded"
+            level.groupBy("chain").count().filter(F.col("count") > most).select("chain"), "crowded"
         )
         if crowded.isEmpty():
             kept.append(here)
@@ -192,19 +206,26 @@ def _signatures(sets: DataFrame, threshold: Threshold, crowd: int) -> DataFrame:
         )
         first = F.col("pos") + 1
         following = F.slice("tokens", first + 1, F.greatest(F.col("spare") + length + 1 - first, F.lit(0)))
-        level = busy.select(
-            *[c for c in sets.columns],
+        # The tokens come back by id, so no stored row carries them; stored, so
+        # that a step doesn't redo the ones before it.
+        extended = busy.join(sets.select("id", "tokens"), "id").select(
+            *carried,
             "spare",
             F.col("chain").alias("__head"),
             F.col("pos").alias("__from"),
             F.posexplode(following).alias("__step", "__next"),
-        ).select(
-            *[c for c in sets.columns],
-            "spare",
-            (F.col("__from") + 1 + F.col("__step")).alias("pos"),
-            F.concat("__head", F.lit(_NEXT), F.col("__next").cast("string")).alias("chain"),
         )
-    columns = [*[c for c in sets.columns if c != "tokens"], "chain", "pos", "length", "ended"]
+        level = materialize(
+            extended.select(
+                *carried,
+                "spare",
+                (F.col("__from") + 1 + F.col("__step")).alias("pos"),
+                F.concat("__head", F.lit(_NEXT), F.col("__next").cast("string")).alias("chain"),
+            ),
+            "longer-chains",
+        )
+        length += 1
+    columns = [*carried, "chain", "pos", "length", "ended"]
     return reduce(DataFrame.unionByName, [k.select(*columns) for k in kept])
 
 

@@ -33,7 +33,7 @@ from espalier.operators.search import (
     trigram_index,
     write_index,
 )
-from espalier.operators.similarity import similarity_join, similarity_self_join
+from espalier.operators.similarity import similar_sets, similarity_join, similarity_self_join
 from espalier.plans.star import EVENT, PRIORITY, STAR, sales, table
 from espalier.sources.append import append_checked as add_checked
 from espalier.sources.ingest import append_rows, conform, register, scan, write_table
@@ -643,9 +643,10 @@ def bucketed_children(spark: SparkSession, folder: str) -> DataFrame:
     or the count."""
     orders, lines = table(spark, folder, "orders"), table(spark, folder, "lineitem")
     path = _stored(orders, "bucketed")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tag = path.rsplit("-", 1)[1]
-    orders = write_bucketed(orders, f"orders_{tag}", f"{path}/orders", "o_orderkey", 16)
-    lines = write_bucketed(lines, f"lines_{tag}", f"{path}/lines", "l_orderkey", 16)
+    orders = write_bucketed(orders, f"orders_{tag}", f"{path}/orders", "o_orderkey", buckets)
+    lines = write_bucketed(lines, f"lines_{tag}", f"{path}/lines", "l_orderkey", buckets)
     joined = lines.hint("merge").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     return joined.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n_lines"))
 
@@ -986,7 +987,9 @@ def pattern_titles(spark: SparkSession, folder: str) -> DataFrame:
 @query(ORACLE["pattern_search"])
 def pattern_titles_indexed(spark: SparkSession, folder: str) -> DataFrame:
     parts = table(spark, folder, "part").select("p_partkey", "p_name")
-    index = trigram_index(parts, "p_partkey", "p_name")
+    path = _stored(parts, "part-index")
+    write_index(trigram_index(parts, "p_partkey", "p_name"), "p_partkey", path)
+    index = spark.read.parquet(path)
     return index_pattern_search(index, parts, "p_partkey", "p_name", "%IDGE%")
 
 
@@ -1041,3 +1044,32 @@ def similar_across(spark: SparkSession, folder: str) -> DataFrame:
     names = parts.select(F.col("p_name").alias("title"))
     typed = parts.select(F.concat_ws(" ", "p_name", "p_type").alias("title"))
     return similarity_join(names, typed, "title", Threshold(1, 2))
+
+
+@query(ORACLE["similarity_join"])
+def similar_titles_crowded(spark: SparkSession, folder: str) -> DataFrame:
+    """As `similarity_join`, with crowds refined early."""
+    return similarity_self_join(table(spark, folder, "part"), "p_name", Threshold(1, 2), crowd=50)
+
+
+@query(
+    f"""
+    WITH titles AS (SELECT DISTINCT unnest([p_name || ' ' || p_type, p_type || ' ' || p_name]) AS title FROM part),
+    named AS (SELECT title, list_sort({sql_trigrams('title')}) AS t FROM titles),
+    classes AS (SELECT t, min(title) AS class_title FROM named GROUP BY t),
+    grams AS (SELECT class_title, len(t) AS n, unnest(t) AS g FROM classes),
+    pairs AS (
+      SELECT l.class_title AS class_title, r.class_title AS other
+      FROM grams l JOIN grams r ON l.g = r.g AND l.class_title <> r.class_title
+      GROUP BY l.class_title, r.class_title HAVING count(*) * 5 >= (any_value(l.n + r.n) - count(*)) * 4),
+    numbers AS (SELECT class_title, count(*) AS n_links FROM pairs GROUP BY class_title)
+    SELECT title, class_title, coalesce(n_links, 0)::BIGINT AS n_links
+    FROM named JOIN classes USING (t) LEFT JOIN numbers USING (class_title)
+    """
+)
+def similar_title_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Compact form: titles of one set stay a group, links are counted between sets."""
+    parts = table(spark, folder, "part")
+    orders = F.array(F.concat_ws(" ", "p_name", "p_type"), F.concat_ws(" ", "p_type", "p_name"))
+    titles = parts.select(F.explode(orders).alias("title"))
+    return similar_sets(titles, None, "title", Threshold(4, 5)).classes().drop("side")

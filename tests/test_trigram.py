@@ -168,3 +168,13 @@ def test_compact_form_names_each_set_once(spark):
     assert sorted(len(g) for g in found.members.groupBy("set").agg(F.collect_set("title")).toPandas().iloc[:, 1]) == [1, 3]
     assert found.pairs.count() == 1
     assert found.titles().count() == 3 + 3  # three variants of "a b" by themselves, and each with "a c"
+    assert sorted(tuple(r) for r in found.classes().drop("side").collect()) == [
+        ("A b", "A b", 1), ("a b", "A b", 1), ("a c", "a c", 1), ("b a", "A b", 1)]
+
+
+def test_classes_of_two_sides_count_each_set_once(spark):
+    left = spark.createDataFrame([("a b",), ("a c",)], "t string")
+    right = spark.createDataFrame([("b a",), ("a c",), ("xyz",)], "t string")
+    found = similar_sets(left, right, "t", Threshold(3, 10)).classes()
+    assert sorted(tuple(r) for r in found.collect()) == [
+        (1, "a b", "a b", 1), (1, "a c", "a c", 1), (2, "a c", "a c", 1), (2, "b a", "a b", 1), (2, "xyz", "xyz", 0)]
