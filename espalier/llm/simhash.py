@@ -71,7 +71,8 @@ def _compare(radius: int):
             ends: list[tuple[np.ndarray, np.ndarray]] = []
             for left, right in zip(batch.column(0), batch.column(1)):
                 a, b = (x.values.to_numpy(zero_copy_only=False) for x in (left, right))
-                near = np.bitwise_count(a[:, None] ^ b[None, :]) <= radius
+                # Unsigned: of a negative number numpy counts the bits of its absolute value.
+                near = np.bitwise_count((a[:, None] ^ b[None, :]).view(np.uint64)) <= radius
                 if near.any():
                     ends.append(_stars(a, b, near))
             yield pa.RecordBatch.from_arrays(

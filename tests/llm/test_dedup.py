@@ -185,6 +185,13 @@ def test_links_connect_what_brute_force_connects(spark, tile, parts):
     assert {r: g for r, g in groups.items()} == {r: g for r, g in theirs.items() if len(g) > 1}
 
 
+def test_links_reach_over_the_sign_bit(spark):
+    """Three bits apart, the highest among them; all 64 bits apart."""
+    top = -(1 << 63)
+    prints = spark.createDataFrame([(0b11000,), (top + 0b11011,), (5 << 40,), (~(5 << 40),)], "print long")
+    assert of(simhash.links(prints).select(F.least("a", "b"), F.greatest("a", "b")).distinct()) == [(top + 0b11011, 0b11000)]
+
+
 def test_near_edges(docs, none, clashing):
     assert simhash.near_duplicates(none).count() == 0
     assert of(simhash.near_duplicates(clashing)) == of(simhash.near_duplicates(docs))
