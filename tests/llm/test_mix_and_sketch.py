@@ -133,6 +133,29 @@ def test_fingerprints_estimate(spark):
     assert len(off) > 300 and sum(off) / len(off) < 0.06
 
 
+def test_fingerprints_of_short_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    own = {r.doc_id: r.text or "" for r in docs.collect()}
+    hand = edited_by_hand(list(own.items()))
+    short = 0
+    for r in sketch.compare_with_next(docs).collect():
+        a, b = shingles(own[r.doc_id]), shingles(hand[r.doc_id][1])
+        short += 0 < len(a) < 45
+        assert r.near_edited == pytest.approx(len(a & b) / len(a | b) if a | b else 1.0)
+        assert r.held_by_edited == pytest.approx(len(a & b) / len(a) if a else 1.0)
+    assert short > 20
+
+
+@pytest.mark.parametrize("scale", [1, 2, 8])
+def test_short_sketches_merge(spark, scale):
+    """A short text within a longer one: the merged sketch is the sketch of the longer."""
+    texts = [(f"w{i} x{i} y{i} z{i} v{i} w", f"w{i} x{i} y{i} z{i} v{i} w and more of u{i}") for i in range(50)]
+    row = spark.createDataFrame(texts, "x string, y string")
+    a, b = (sketch.sketch(F.col(c), scale=scale) for c in "xy")
+    assert row.filter(sketch.merge(a, b) != b).count() == 0
+    assert scale > 1 or row.filter(sketch.containment(a, b) < 1).count() == 0
+
+
 def test_sketches_merge(spark):
     row = spark.range(1).select(
         F.lit("a b c d e f g h i j k l m n o p q r s t u v w x y z " * 3).alias("x"), F.lit("one two three " * 90).alias("y")
