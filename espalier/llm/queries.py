@@ -36,8 +36,10 @@ def op4_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """All documents come in; then those labelled poor go, those labelled toxic
-    are cut to their first line and counted anew. Both batches run twice."""
+    """All documents come in; then those labelled poor go and those labelled toxic
+    are counted anew with runs of white space as one space; at last the poor ones
+    are back and the others as they stand. Every batch counts whole texts and runs
+    twice; the totals are those of the whole table."""
     docs = table(spark, folder, "documents")
     with open(RANKS_FILE, "rb") as file:
         how = (file.read(), public_tokenizers.PATTERN, "byte_bpe_50k")
@@ -45,16 +47,16 @@ def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     marks = table(spark, folder, "labels").groupBy("doc_id").agg(
         (F.min("quality") == 0).alias("poor"), (F.max("toxic") == 1).alias("toxic")
     )
-    poor = marks.filter("poor").select("doc_id")
-    cut = marks.filter("toxic and not coalesce(poor, false)").select("doc_id")
+    poor = first.join(marks.filter("poor"), "doc_id", "left_semi")
+    toxic = marks.filter("toxic and not coalesce(poor, false)")
+    old = first.join(toxic, "doc_id", "left_semi")
     # Counted before the join, so that counts are exchanged and texts never are.
-    first_lines = docs.withColumn("text", F.substring_index("text", "\n", 1))
-    anew = token_rollup.token_counts(first_lines, *how).join(cut, "doc_id", "left_semi")
-    changes = token_rollup.deletes(first.join(poor, "doc_id", "left_semi")).unionByName(
-        token_rollup.revisions(first.join(cut, "doc_id", "left_semi"), anew)
-    )
+    spaced = token_rollup.token_counts(docs.withColumn("text", exact_dedup.normalised("text")), *how)
+    new = materialize(spaced.join(toxic, "doc_id", "left_semi"), "rollup-anew")
+    labels = token_rollup.deletes(poor).unionByName(token_rollup.revisions(old, new))
+    back = token_rollup.inserts(poor).unionByName(token_rollup.revisions(new, old))
     rollup = token_rollup.Rollup(spark, fresh_path(spark, "rollup"))
-    for batch, rows in (("load", token_rollup.inserts(first)), ("labels", changes)) * 2:
+    for batch, rows in (("load", token_rollup.inserts(first)), ("labels", labels), ("back", back)) * 2:
         rollup.commit(batch, rows)
     return rollup.totals()
 

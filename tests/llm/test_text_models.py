@@ -287,3 +287,11 @@ def test_token_totals_equal_a_direct_count(spark):
     )
     hand = token_rollup.token_counts(final, *how).groupBy("source", "lang", "tokenizer").agg(F.count("*"), F.sum("tokens"))
     assert of(QUERIES["op5_token_counts"](spark, SF)) == of(hand)
+
+
+def test_token_totals_hold_every_whole_text(spark):
+    with open(RANKS_FILE, "rb") as file:
+        how = (file.read(), public_tokenizers.PATTERN, "byte_bpe_50k")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    hand = token_rollup.token_counts(docs, *how).groupBy("source", "lang", "tokenizer").agg(F.count("*"), F.sum("tokens"))
+    assert of(QUERIES["op5_token_counts"](spark, SF)) == of(hand)
