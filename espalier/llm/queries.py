@@ -7,8 +7,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from espalier.durable import fresh_path, materialize
-from espalier.llm import bpe, exact_dedup, html_text, langid, line_dedup, mixing, quality, simhash, sketch, token_rollup
-from espalier.llm.common import table
+from espalier.functions.once import with_once
+from espalier.llm import (
+    bpe,
+    exact_dedup,
+    html_text,
+    langid,
+    line_dedup,
+    mixing,
+    periodic,
+    quality,
+    simhash,
+    sketch,
+    token_rollup,
+)
+from espalier.llm.common import WORD, table, text_of
 
 BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
 RANKS_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -93,6 +106,38 @@ def token_digests(decoded: DataFrame, *others: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", *digests, *others)
 
 
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic.word_runs(with_repeats(table(spark, folder, "documents")))
+    best = with_once(found, best=periodic.strongest(F.col("runs")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """`doc_id, text`: about every tenth text, by a hash of its id, with a last
+    part that repeats one stretch of its words. A null id changes nothing."""
+    mark = F.crc32(F.col("doc_id").cast("string"))
+    chosen = F.coalesce(mark % 10 == 0, F.lit(False))
+    words = F.when(chosen, F.regexp_extract_all(text_of("text"), F.lit(WORD), F.lit(0)))
+    split = with_once(docs.select("doc_id", "text"), words=words, g=F.expr("crc32(cast(doc_id as string)) div 10"))
+    placed = split.withColumns({"a": F.when(F.size("words") > 0, F.expr("cast(g % size(words) as int)"))}).withColumn(
+        "p", F.expr("cast(1 + (size(words) - a) div (3 + g % 8) as int)")
+    )
+    again = F.transform(
+        "words", lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("words", F.col("a") + (i - F.col("a")) % F.col("p")))
+    )
+    return placed.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -106,6 +151,7 @@ QUERIES = {
         op8_language_id,
         op9_document_fingerprints,
         op10_bpe,
+        op13_periodic_runs,
     )
 }
 
