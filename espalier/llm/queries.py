@@ -19,6 +19,7 @@ from espalier.llm import (
     quality,
     simhash,
     sketch,
+    spherical,
     token_rollup,
 )
 from espalier.llm.common import WORD, table, text_of
@@ -106,6 +107,10 @@ def token_digests(decoded: DataFrame, *others: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", *digests, *others)
 
 
+def op12_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return spherical.near_vectors(table(spark, folder, "embeddings"))
+
+
 def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     found = periodic.word_runs(with_repeats(table(spark, folder, "documents")))
     best = with_once(found, best=periodic.strongest(F.col("runs")))
@@ -151,6 +156,7 @@ QUERIES = {
         op8_language_id,
         op9_document_fingerprints,
         op10_bpe,
+        op12_embedding_near_dedup,
         op13_periodic_runs,
     )
 }
