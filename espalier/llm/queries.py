@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from espalier.durable import fresh_path, materialize
 from espalier.functions.once import with_once
 from espalier.llm import (
+    alignment,
     bpe,
     exact_dedup,
     html_text,
@@ -107,6 +108,13 @@ def token_digests(decoded: DataFrame, *others: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", *digests, *others)
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    pair = alignment.Pair.read(BPE_FILE, public_tokenizers.PATTERN, PIECES_FILE)
+    aligned = alignment.align(table(spark, folder, "documents"), pair)
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise(F.lit("")).alias("groups_sha256")
+    return alignment.with_agreement(aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", digest, "links"))
+
+
 def op12_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return spherical.near_vectors(table(spark, folder, "embeddings"))
 
@@ -156,6 +164,7 @@ QUERIES = {
         op8_language_id,
         op9_document_fingerprints,
         op10_bpe,
+        op11_cross_tokenizer_alignment,
         op12_embedding_near_dedup,
         op13_periodic_runs,
     )
