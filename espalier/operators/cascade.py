@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from functools import reduce
 from graphlib import TopologicalSorter
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from espalier.durable import materialize
@@ -18,13 +18,19 @@ _DOOMED = "__doomed"
 
 @dataclass(frozen=True)
 class Cascade:
-    """The rows that go, per table that the delete reaches, and the rows that stay, per table."""
+    """The rows that go, per table that the delete reaches, and the rows that stay, per table.
+
+    `counted` says how many go, where the delete has counted them on its way."""
 
     deleted: dict[str, DataFrame]
     surviving: dict[str, DataFrame]
+    counted: dict[str, int] | None = None
 
     def counts(self) -> DataFrame:
         """`table, n_deleted` for every table the delete reaches."""
+        if self.counted is not None:
+            spark = next(iter(self.deleted.values())).sparkSession
+            return spark.createDataFrame(list(self.counted.items()), "table string, n_deleted long")
         lines = [
             df.agg(F.count(F.lit(1)).alias("n_deleted")).select(F.lit(name).alias("table"), "n_deleted")
             for name, df in self.deleted.items()
@@ -46,14 +52,17 @@ def cascade_delete(
     that meet again (a diamond) neither miss nor repeat it and no key of the
     child itself is needed. A NULL foreign key depends on nothing.
 
-    Only distinct parent keys are joined in. With `durable`, each table's
-    doomed keys are stored in the shared folder, so that a deep graph doesn't
-    redo the levels above for every table below.
+    Only distinct parent keys are joined in. With `durable`, one job per table
+    stores its doomed keys in the shared folder and counts its doomed rows, so
+    every table is read once however deep the graph, and nothing above a table
+    is done again for what lies below it.
     """
     deleted: dict[str, DataFrame] = {}
     surviving: dict[str, DataFrame] = {}
     doomed: dict[tuple[str, tuple[str, ...]], DataFrame] = {}
     graph = {child: {k.parent for k in keys} for child, keys in foreign_keys.items()}
+    counted: dict[str, int] = {}
+    wanted = {(k.parent, k.parent_columns) for keys in foreign_keys.values() for k in keys}
     graph.setdefault(root, set())  # a root without keys or children is deleted from all the same
     for name in TopologicalSorter(graph).static_order():
         if name == root:
@@ -66,13 +75,28 @@ def cascade_delete(
             for key in live:
                 target = (key.parent, key.parent_columns)
                 if target not in doomed:
-                    keys = deleted[key.parent].select(*[f"`{c}`" for c in key.parent_columns]).distinct()
-                    doomed[target] = materialize(keys, f"cascade-{key.parent}") if durable else keys
+                    doomed[target] = deleted[key.parent].select(*[f"`{c}`" for c in key.parent_columns]).distinct()
             marked = _mark(tables[name], [(k, doomed[k.parent, k.parent_columns]) for k in live])
         deleted[name] = marked.filter(_DOOMED).drop(_DOOMED)
         surviving[name] = marked.filter(~F.col(_DOOMED)).drop(_DOOMED)
+        if durable:
+            keys = [columns for table, columns in wanted if table == name]
+            stored, counted[name] = _stored(deleted[name], keys, name)
+            doomed.update({(name, c): stored.select(*[f"`{x}`" for x in c]).distinct() for c in keys})
     untouched = {name: df for name, df in tables.items() if name not in surviving}
-    return Cascade(deleted, {**surviving, **untouched})
+    return Cascade(deleted, {**surviving, **untouched}, counted if durable else None)
+
+
+def _stored(gone: DataFrame, keys: Sequence[tuple[str, ...]], name: str) -> tuple[DataFrame, int]:
+    """The columns of all `keys`, stored, and the number of rows, both by one job."""
+    seen = Observation()
+    columns = dict.fromkeys(c for key in keys for c in key)
+    slim = gone.select(*[f"`{c}`" for c in columns]).observe(seen, F.count(F.lit(1)).alias("n"))
+    if columns:
+        slim = materialize(slim, f"cascade-{name}")
+    else:  # nothing refers to this table: its rows are only counted
+        slim.write.format("noop").mode("overwrite").save()
+    return slim, seen.get["n"]
 
 
 def _mark(df: DataFrame, doomed: Sequence[tuple[ForeignKey, DataFrame]]) -> DataFrame:

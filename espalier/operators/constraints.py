@@ -11,7 +11,7 @@ the rows travels as one small record per map task.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -286,15 +286,30 @@ def validate(tables: dict[str, DataFrame], specs: Sequence[TableSpec]) -> DataFr
     from one grouping.
     """
     reports = []
-    uniques: dict[tuple[str, tuple[str, ...]], list[UniqueRule]] = {}
-    children: dict[tuple[str, tuple[str, ...]], list[tuple[str, DataFrame, ForeignKey]]] = {}
     for spec in specs:
         df = tables[spec.name]
-        declared = {c.name: c.type for c in spec.columns}
-        typed = [castable(f.name, declared[f.name]) for f in df.schema if declared.get(f.name, f.dataType) != f.dataType]
-        rules = [*typed, *row_rules(spec)]
+        rules = [*type_rules(df, spec), *row_rules(spec)]
         if rules:
             reports.append(report_rows(df, rules, spec.name))
+    reports += key_reports(tables, specs)
+    if not reports:
+        return next(iter(tables.values())).sparkSession.createDataFrame([], REPORT_SCHEMA)
+    return reduce(DataFrame.union, reports)
+
+
+def type_rules(df: DataFrame, spec: TableSpec) -> list[RowRule]:
+    """Rules for the columns of `df` whose type isn't the declared one."""
+    declared = {c.name: c.type for c in spec.columns}
+    return [castable(f.name, declared[f.name]) for f in df.schema if declared.get(f.name, f.dataType) != f.dataType]
+
+
+def key_reports(tables: Mapping[str, DataFrame], specs: Sequence[TableSpec]) -> list[DataFrame]:
+    """The report lines of all keys, one report for each key and the references to it."""
+    reports = []
+    uniques: dict[tuple[str, tuple[str, ...]], list[UniqueRule]] = {}
+    children: dict[tuple[str, tuple[str, ...]], list[tuple[str, DataFrame, ForeignKey]]] = {}
+    for spec in specs:
+        df = tables[spec.name]
         own = [UniqueRule(spec.primary_key, required=True)] if spec.primary_key else []
         for rule in (*own, *[UniqueRule(columns) for columns in spec.unique]):
             uniques.setdefault((spec.name, rule.columns), []).append(rule)
@@ -303,9 +318,7 @@ def validate(tables: dict[str, DataFrame], specs: Sequence[TableSpec]) -> DataFr
     for table, columns in dict.fromkeys((*uniques, *children)):
         at = (table, columns)
         reports.append(report_key(tables[table], columns, table, uniques.get(at, ()), children.get(at, ())))
-    if not reports:
-        return next(iter(tables.values())).sparkSession.createDataFrame([], REPORT_SCHEMA)
-    return reduce(DataFrame.union, reports)
+    return reports
 
 
 def validate_raw(df: DataFrame, spec: TableSpec) -> DataFrame:

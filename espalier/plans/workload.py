@@ -481,7 +481,7 @@ def validate_report(spark: SparkSession, folder: str) -> DataFrame:
 def _cascade(spark: SparkSession, folder: str) -> Cascade:
     tables, specs = _star(spark, folder, "region", "nation", "customer", "supplier", "orders", "lineitem")
     keys = {s.name: [k for k in s.foreign_keys if k.parent in tables] for s in specs}
-    return cascade_delete(tables, keys, "region", F.col("r_name") == "ASIA")
+    return cascade_delete(tables, keys, "region", F.col("r_name") == "ASIA", durable=True)
 
 
 _SQL_DOOMED = """

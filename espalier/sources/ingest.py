@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from espalier.functions.timeutil import load_instant
-from espalier.functions.types import to_type, to_varchar
+from espalier.functions.types import fits_type, fits_varchar, to_type, to_varchar
 from espalier.spec import ABSENT, Column, TableSpec
 
 
@@ -31,11 +31,13 @@ def literal_rows(
     )
 
 
-def conform(df: DataFrame, spec: TableSpec, as_of: dt.datetime | None = None) -> DataFrame:
+def conform(df: DataFrame, spec: TableSpec, as_of: dt.datetime | None = None, lenient: bool = False) -> DataFrame:
     """`df` with exactly the columns of `spec`, in its order and types.
 
     A default fills a column that `df` lacks; a NULL that `df` holds stays
-    NULL. Generated keys that `df` lacks are left out, for `assign_keys`.
+    NULL. Generated keys that `df` lacks are left out, for `assign_keys`. A value
+    that doesn't fit stops the job; `lenient` lets it become NULL, for callers
+    that count such values on the way and throw the rows away.
     """
     known = {c.name for c in spec.columns}
     unknown = [c for c in df.columns if c not in known]
@@ -45,20 +47,23 @@ def conform(df: DataFrame, spec: TableSpec, as_of: dt.datetime | None = None) ->
     chosen = []
     for column in spec.columns:
         if column.name in df.columns:
-            chosen.append(_cast(df, column).alias(column.name))
+            chosen.append(_cast(df, column, lenient).alias(column.name))
         elif not column.generated:
             chosen.append(_default(column, now).cast(column.type).alias(column.name))
     return df.select(*chosen)
 
 
-def _cast(df: DataFrame, column: Column) -> SparkColumn:
+def _cast(df: DataFrame, column: Column, lenient: bool) -> SparkColumn:
     value = F.col(f"`{column.name}`")
     kind = df.schema[column.name].dataType
     if kind != column.type:
         if isinstance(kind, T.FractionalType) and isinstance(column.type, T.IntegralType):
             value = F.round(value)  # half up, as for decimals; the range is judged after it
-        value = to_type(value, column.type)
-    return value if column.max_length is None else to_varchar(value, column.max_length)
+        value = F.when(fits_type(value, column.type), value.try_cast(column.type)) if lenient else to_type(value, column.type)
+    if column.max_length is None:
+        return value
+    fitting = F.when(fits_varchar(value, column.max_length), value) if lenient else value
+    return to_varchar(fitting, column.max_length)
 
 
 def _default(column: Column, now: SparkColumn) -> SparkColumn:

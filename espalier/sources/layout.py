@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from espalier.functions.rowhash import row_hash
-from espalier.spec import names
+from espalier.spec import TableSpec, names
 
 
 def write_clustered(
@@ -17,6 +17,7 @@ def write_clustered(
     sort_by: str | Iterable[str],
     partition_by: str | Iterable[str] = (),
     partitions: int | None = None,
+    mode: str = "overwrite",
 ) -> None:
     """Folders by `partition_by`, files in `sort_by` order.
 
@@ -29,12 +30,20 @@ def write_clustered(
     ranged = [F.col(f"`{c}`").asc_nulls_last() for c in (*folders, *order)]
     ends = [*ranged, row_hash(df)]
     split = df.repartitionByRange(partitions, *ends) if partitions else df.repartitionByRange(*ends)
-    writer = split.sortWithinPartitions(*ranged).write.mode("overwrite")
+    writer = split.sortWithinPartitions(*ranged).write.mode(mode)
     if folders:
         writer = writer.partitionBy(*folders)
     writer.parquet(path)
 
 
+def write_declared(df: DataFrame, spec: TableSpec, path: str, mode: str = "overwrite", partitions: int | None = None) -> None:
+    """Write rows in the layout that `spec` declares; without one, as they lie."""
+    if spec.sort_by or spec.partition_by:
+        write_clustered(df, path, spec.sort_by, spec.partition_by, partitions, mode)
+    else:
+        df.write.mode(mode).parquet(path)
+
+
 def write_bucketed(df: DataFrame, name: str, path: str, by: str | Iterable[str], buckets: int) -> DataFrame:
     """Save `df` as the table `name`, hashed and sorted by a key into buckets.
 

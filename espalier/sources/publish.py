@@ -1,8 +1,9 @@
 """Publishing a batch of tables all at once, or not at all.
 
-Tables are written to a folder of their own run, read back and checked. Only
-if every check passes is a manifest added, as one file, which is the single
-commit point: readers resolve each table through the newest manifest that names
+Tables are written to a folder of their own run. The write itself counts the rows
+that break a row rule or don't fit the declared shape, so a batch is read once;
+only key columns are read back, for the rules on keys. Only if every check
+passes is a manifest added, as one file, which is the single commit point: readers resolve each table through the newest manifest that names
 it and never see a run without one. A reader who opens a run's folder directly has no such
 guarantee.
 """
@@ -14,14 +15,24 @@ import uuid
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from espalier.operators.constraints import REPORT_SCHEMA, report_rows, validate, validate_raw, within_length
+from espalier.operators.constraints import (
+    REPORT_SCHEMA,
+    RowRule,
+    key_reports,
+    report_rows,
+    row_rules,
+    type_rules,
+    within_length,
+)
 from espalier.sources.ingest import conform, scan
+from espalier.sources.layout import write_declared
 from espalier.spec import TableSpec
 
 _WRITERS = 4
@@ -42,21 +53,53 @@ class Publication:
     audit: DataFrame
 
 
-def misshapen(tables: dict[str, DataFrame], specs: Sequence[TableSpec]) -> list[tuple]:
+def unknown_columns(df: DataFrame, spec: TableSpec) -> list[tuple]:
+    """Findings for the columns that `spec` doesn't declare."""
+    known = {c.name for c in spec.columns}
+    return [(spec.name, c, "unknown_column", 1) for c in df.columns if c not in known]
+
+
+def shape_rules(df: DataFrame, spec: TableSpec) -> list[RowRule]:
+    """Which values don't fit the declared types and lengths."""
+    bounded = [within_length(c.name, c.max_length) for c in spec.columns if c.max_length and c.name in df.columns]
+    return [*type_rules(df, spec), *bounded]
+
+
+def misshapen(tables: Mapping[str, DataFrame], specs: Sequence[TableSpec]) -> list[tuple]:
     """Findings that keep a batch from being written: columns that a table
-    doesn't declare, and values that don't fit the declared types or lengths."""
-    found = []
-    for spec in specs:
-        df, known = tables[spec.name], {c.name: c.type for c in spec.columns}
-        found += [(spec.name, c, "unknown_column", 1) for c in df.columns if c not in known]
-        if any(f.name in known and f.dataType != known[f.name] for f in df.schema):
-            found += [tuple(r) for r in validate_raw(df, spec).filter("n_violations > 0").collect()]
-        bounded = [within_length(c.name, c.max_length) for c in spec.columns if c.max_length and c.name in df.columns]
-        if bounded:
-            found += [tuple(r) for r in report_rows(df, bounded, spec.name).filter("n_violations > 0").collect()]
+    doesn't declare, and values that don't fit the declared types or lengths.
+    One report over all tables."""
+    found = [line for spec in specs for line in unknown_columns(tables[spec.name], spec)]
+    rules = {spec.name: shape_rules(tables[spec.name], spec) for spec in specs}
+    reports = [report_rows(tables[name], own, name) for name, own in rules.items() if own]
+    if reports:
+        found += [tuple(r) for r in reduce(DataFrame.union, reports).filter("n_violations > 0").collect()]
     return found
 
 
+class _Observed:
+    """Rules counted by the job that writes the rows they are about."""
+
+    def __init__(self, df: DataFrame, rules: Sequence[RowRule], table: str):
+        self.rules, self.table, self.seen = rules, table, Observation(f"{table}-{uuid.uuid4().hex}")
+        counts = [F.count_if(rule.broken).alias(f"n{i}") for i, rule in enumerate(rules)]
+        self.df = df.observe(self.seen, *counts) if rules else df
+
+    def lines(self) -> list[tuple]:
+        found = self.seen.get if self.rules else {}
+        return [(self.table, rule.name, rule.kind, found[f"n{i}"]) for i, rule in enumerate(self.rules)]
+
+
+def _write(df: DataFrame, spec: TableSpec, path: str) -> tuple[list[tuple], list[tuple]]:
+    """Write one table and say what its shape rules and its row rules have counted.
+
+    Values that don't fit are written as NULL: their run is never committed."""
+    shape = _Observed(df, shape_rules(df, spec), spec.name)
+    rows = _Observed(conform(shape.df, spec, lenient=True), row_rules(spec), spec.name)
+    write_declared(rows.df, spec, path, mode="error")
+    return [line for line in shape.lines() if line[3]], rows.lines()
+
+
 def publish(
     spark: SparkSession,
     tables: dict[str, DataFrame],
@@ -67,22 +110,28 @@ def publish(
     """Write, audit, and commit only a clean batch, shaped to `specs`.
 
     `parents` are tables that the batch refers to but doesn't hold, such as
-    those of an earlier publication.
+    those of an earlier publication. A batch with columns that a table
+    doesn't declare isn't written, one with values that don't fit isn't looked at
+    for other faults; the audit then says just that. Otherwise each table of the
+    batch is read once, by its write.
     """
     run = f"{dt.datetime.now(dt.timezone.utc):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
     paths = {spec.name: f"{target}/runs/{run}/{spec.name}" for spec in specs}
-    unfit = misshapen(tables, specs)
-    if unfit:
-        return Publication(run, False, spark.createDataFrame(unfit, REPORT_SCHEMA))
-    tables = {spec.name: conform(tables[spec.name], spec) for spec in specs}
+    if any(unknown_columns(tables[spec.name], spec) for spec in specs):
+        return Publication(run, False, spark.createDataFrame(misshapen(tables, specs), REPORT_SCHEMA))
     # The tables don't depend on each other, so small ones needn't wait for large ones.
     with ThreadPoolExecutor(_WRITERS) as pool:
-        list(pool.map(lambda spec: tables[spec.name].write.parquet(paths[spec.name]), specs))
+        counted = list(pool.map(lambda spec: _write(tables[spec.name], spec, paths[spec.name]), specs))
+    unfit = [line for shape, _ in counted for line in shape]
+    if unfit:
+        return Publication(run, False, spark.createDataFrame(unfit, REPORT_SCHEMA))
     staged = {spec.name: scan(spark, paths[spec.name], spec) for spec in specs}
+    keys = key_reports({**(parents or {}), **staged}, specs)
     # One row per declared constraint, so the report is as small as the specs.
-    findings = validate({**(parents or {}), **staged}, specs).collect()
+    findings = [line for _, rows in counted for line in rows]
+    findings += [tuple(r) for r in reduce(DataFrame.union, keys).collect()] if keys else []
     audit = spark.createDataFrame(findings, REPORT_SCHEMA)
-    clean = all(row["n_violations"] == 0 for row in findings)
+    clean = all(line[3] == 0 for line in findings)
     if clean:
         now = f"{dt.datetime.now(dt.timezone.utc):%Y%m%dT%H%M%S%f}"
         manifest = [(run, name, path, now) for name, path in paths.items()]
@@ -95,7 +144,9 @@ def publish(
 def _manifests(spark: SparkSession, target: str) -> DataFrame | None:
     try:
         return spark.read.schema(_MANIFEST).json(f"{target}/manifests")
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 

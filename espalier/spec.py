@@ -71,12 +71,17 @@ class ForeignKey:
 
 @dataclass(frozen=True)
 class TableSpec:
+    """A declared table. `partition_by` and `sort_by` are its layout: folders,
+    and the order of rows over and within files."""
+
     name: str
     columns: tuple[Column, ...]
     primary_key: tuple[str, ...] = ()
     unique: tuple[tuple[str, ...], ...] = ()
     checks: tuple[Check, ...] = ()
     foreign_keys: tuple[ForeignKey, ...] = field(default=())
+    partition_by: tuple[str, ...] = ()
+    sort_by: tuple[str, ...] = ()
 
     @property
     def schema(self) -> T.StructType:

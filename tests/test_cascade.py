@@ -61,3 +61,32 @@ def test_a_lone_root_is_deleted_from_and_others_stay(spark):
     done = cascade_delete(tables, {}, "a", F.col("id") < 2)
     assert done.deleted["a"].count() == 2 and done.surviving["a"].count() == 3
     assert done.surviving["b"].count() == 3 and "b" not in done.deleted
+
+
+def test_each_table_is_read_once_and_counted(spark):
+    """A durable cascade marks every table in one job, however many lie below it."""
+    seen = {name: spark.sparkContext.accumulator(0) for name in ("a", "b", "c", "d")}
+
+    def watched(name, data, columns):
+        def look(value):
+            seen[name].add(1)
+            return value
+
+        frame = spark.createDataFrame(data, columns)
+        return frame.withColumn("id", F.udf(look, "long")("id"))
+
+    tables = {
+        "a": watched("a", [(i,) for i in range(4)], "id long"),
+        "b": watched("b", [(i, i % 4) for i in range(20)], "id long, a long"),
+        "c": watched("c", [(i, i % 20) for i in range(60)], "id long, b long"),
+        "d": watched("d", [(i, i % 60, i % 4) for i in range(90)], "id long, c long, a long"),
+    }
+    keys = {
+        "b": [ForeignKey(("a",), "a", ("id",))],
+        "c": [ForeignKey(("b",), "b", ("id",))],
+        "d": [ForeignKey(("c",), "c", ("id",)), ForeignKey(("a",), "a", ("id",))],
+    }
+    done = cascade_delete(tables, keys, "a", F.col("id") == 1, durable=True)
+    assert rows(done.counts()) == sorted([("a", 1), ("b", 5), ("c", 15), ("d", 23)], key=repr)
+    assert all(seen[n].value <= df for n, df in (("a", 4), ("b", 20), ("c", 60), ("d", 90)))
+    assert rows(done.deleted["d"], "id") == sorted([(i,) for i in range(90) if i % 60 % 20 % 4 == 1 or i % 4 == 1], key=repr)

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from espalier.plans.catalog import catalog_specs
 from espalier.sources.ingest import conform, literal_rows
@@ -45,3 +46,46 @@ def test_each_table_is_read_from_the_last_commit_that_names_it(spark, folder):
     parents = {"branches": read_published(spark, folder, BRANCH)}
     assert publish(spark, {"semesters": batch["semesters"]}, [SEMESTER], folder, parents).committed
     assert read_published(spark, folder, BRANCH).count() == read_published(spark, folder, SEMESTER).count() == 1
+
+
+def test_each_row_is_read_once(spark, folder):
+    """The write counts what breaks a rule: an accumulator sees every row of the batch once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(value):
+        seen.add(1)
+        return value
+
+    source = spark.range(50).select(F.udf(look, "long")("id").alias("id"))
+    branches = source.select(*[F.lit("x").alias(c.name) if c.name != "id" else F.concat(F.lit("b"), F.col("id")).alias("id") for c in BRANCH.columns if c.name != "created_at"])
+    branches = branches.withColumns({c: F.concat(F.lit("c"), F.col("id")) for c in ("code",)})
+    loose = branches.select(*[F.col(c).cast(BRANCH.column(c).type).alias(c) if BRANCH.column(c).type.simpleString() == "string" else F.lit("1").alias(c) for c in branches.columns])
+    done = publish(spark, {"branches": loose}, [BRANCH], folder)
+    assert seen.value == 50, [tuple(r) for r in done.audit.filter("n_violations > 0").collect()]
+
+
+def test_values_that_do_not_fit_are_counted_and_stop_the_batch(spark, folder):
+    rows_ = spark.createDataFrame([("1", "A", "1"), ("2", "A", "two"), ("3", "A", "99999999999"), ("x", None, None)], "id string, branch_id string, semester_number string")
+    batch = {"semesters": rows_}
+    done = publish(spark, batch, [SEMESTER], folder, {"branches": _batch(spark, 1)["branches"]})
+    assert not done.committed
+    assert sorted((r.constraint, r.kind, r.n_violations) for r in done.audit.collect()) == [("id", "type", 1), ("semester_number", "type", 2)]
+
+
+def test_a_batch_without_rows_is_clean(spark, folder):
+    batch = {name: df.limit(0) for name, df in _batch(spark, 1).items()}
+    empty = {"branches": spark.createDataFrame([], BRANCH.schema), "semesters": batch["semesters"].filter("false")}
+    done = publish(spark, empty, [BRANCH, SEMESTER], folder)
+    assert done.committed and done.audit.count() > 10
+    assert read_published(spark, folder, BRANCH).count() == 0
+
+
+def test_another_fault_is_not_taken_for_a_first_publication(spark, folder):
+    import os
+
+    os.makedirs(folder + "/manifests")
+    with open(folder + "/manifests/part.json", "w") as file:
+        file.write("{not json")
+    assert current_run(spark, folder) is None  # no row names a run
+    with pytest.raises(Exception):
+        current_run(spark, "nosuchscheme://" + folder)
