@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame, SparkSession
@@ -31,13 +31,20 @@ def literal_rows(
     )
 
 
-def conform(df: DataFrame, spec: TableSpec, as_of: dt.datetime | None = None, lenient: bool = False) -> DataFrame:
+def conform(
+    df: DataFrame,
+    spec: TableSpec,
+    as_of: dt.datetime | None = None,
+    lenient: bool = False,
+    besides: Mapping[str, SparkColumn] | None = None,
+) -> DataFrame:
     """`df` with exactly the columns of `spec`, in its order and types.
 
     A default fills a column that `df` lacks; a NULL that `df` holds stays
     NULL. Generated keys that `df` lacks are left out, for `assign_keys`. A value
     that doesn't fit stops the job; `lenient` lets it become NULL, for callers
-    that count such values on the way and throw the rows away.
+    that count such values on the way and throw the rows away. `besides` are
+    further columns, over those of `df`.
     """
     known = {c.name for c in spec.columns}
     unknown = [c for c in df.columns if c not in known]
@@ -50,7 +57,7 @@ def conform(df: DataFrame, spec: TableSpec, as_of: dt.datetime | None = None, le
             chosen.append(_cast(df, column, lenient).alias(column.name))
         elif not column.generated:
             chosen.append(_default(column, now).cast(column.type).alias(column.name))
-    return df.select(*chosen)
+    return df.select(*chosen, *[c.alias(name) for name, c in (besides or {}).items()])
 
 
 def _cast(df: DataFrame, column: Column, lenient: bool) -> SparkColumn:

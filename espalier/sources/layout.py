@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,37 +11,54 @@ from espalier.functions.rowhash import row_hash
 from espalier.spec import TableSpec, names
 
 
-def write_clustered(
-    df: DataFrame,
-    path: str,
-    sort_by: str | Iterable[str],
-    partition_by: str | Iterable[str] = (),
-    partitions: int | None = None,
-    mode: str = "overwrite",
-) -> None:
-    """Folders by `partition_by`, files in `sort_by` order.
+def clustered(
+    df: DataFrame, sort_by: str | Iterable[str], partition_by: str | Iterable[str] = (), partitions: int | None = None
+) -> DataFrame:
+    """The rows dealt out by ranges and sorted within them.
 
     The range exchange takes both column lists together, and a hash of the row
     after them, so a value that holds a large share of the rows is cut into
     several files, and each file covers a narrow range that parquet's min/max
-    statistics can skip.
+    statistics can skip. It reads `df` twice: a sample comes first.
     """
-    folders, order = names(partition_by), names(sort_by)
-    ranged = [F.col(f"`{c}`").asc_nulls_last() for c in (*folders, *order)]
+    ranged = [F.col(f"`{c}`").asc_nulls_last() for c in (*names(partition_by), *names(sort_by))]
     ends = [*ranged, row_hash(df)]
     split = df.repartitionByRange(partitions, *ends) if partitions else df.repartitionByRange(*ends)
-    writer = split.sortWithinPartitions(*ranged).write.mode(mode)
-    if folders:
-        writer = writer.partitionBy(*folders)
+    return split.sortWithinPartitions(*ranged)
+
+
+def _save(df: DataFrame, path: str, partition_by: tuple[str, ...], mode: str) -> None:
+    writer = df.write.mode(mode)
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
 
 
-def write_declared(df: DataFrame, spec: TableSpec, path: str, mode: str = "overwrite", partitions: int | None = None) -> None:
-    """Write rows in the layout that `spec` declares; without one, as they lie."""
+def write_clustered(
+    df: DataFrame,
+    path: str,
+    sort_by: str | Iterable[str],
+    partition_by: str | Iterable[str] = (),
+    partitions: int | None = None,
+) -> None:
+    """Folders by `partition_by`, files in `sort_by` order."""
+    _save(clustered(df, sort_by, partition_by, partitions), path, names(partition_by), "overwrite")
+
+
+def write_declared(
+    df: DataFrame,
+    spec: TableSpec,
+    path: str,
+    mode: str = "overwrite",
+    partitions: int | None = None,
+    watch: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+) -> None:
+    """Write rows in the layout that `spec` declares; without one, as they lie.
+
+    `watch` is put in where rows are in place, right before they are written."""
     if spec.sort_by or spec.partition_by:
-        write_clustered(df, path, spec.sort_by, spec.partition_by, partitions, mode)
-    else:
-        df.write.mode(mode).parquet(path)
+        df = clustered(df, spec.sort_by, spec.partition_by, partitions)
+    _save(watch(df), path, spec.partition_by, mode)
 
 
 def write_bucketed(df: DataFrame, name: str, path: str, by: str | Iterable[str], buckets: int) -> DataFrame:

@@ -77,27 +77,30 @@ def misshapen(tables: Mapping[str, DataFrame], specs: Sequence[TableSpec]) -> li
     return found
 
 
-class _Observed:
-    """Rules counted by the job that writes the rows they are about."""
-
-    def __init__(self, df: DataFrame, rules: Sequence[RowRule], table: str):
-        self.rules, self.table, self.seen = rules, table, Observation(f"{table}-{uuid.uuid4().hex}")
-        counts = [F.count_if(rule.broken).alias(f"n{i}") for i, rule in enumerate(rules)]
-        self.df = df.observe(self.seen, *counts) if rules else df
-
-    def lines(self) -> list[tuple]:
-        found = self.seen.get if self.rules else {}
-        return [(self.table, rule.name, rule.kind, found[f"n{i}"]) for i, rule in enumerate(self.rules)]
+_UNFIT = "__unfit"
 
 
 def _write(df: DataFrame, spec: TableSpec, path: str) -> tuple[list[tuple], list[tuple]]:
     """Write one table and say what its shape rules and its row rules have counted.
 
-    Values that don't fit are written as NULL: their run is never committed."""
-    shape = _Observed(df, shape_rules(df, spec), spec.name)
-    rows = _Observed(conform(shape.df, spec, lenient=True), row_rules(spec), spec.name)
-    write_declared(rows.df, spec, path, mode="error")
-    return [line for line in shape.lines() if line[3]], rows.lines()
+    The rules are counted where the rows are written: below a range exchange a
+    sample would be counted as well. Whether a value fits is known before that,
+    so it comes along. Values that don't fit are written as NULL: their run is
+    never committed."""
+    shape, rows = shape_rules(df, spec), row_rules(spec)
+    flags = {f"{_UNFIT}{i}": rule.broken for i, rule in enumerate(shape)}
+    marked = conform(df, spec, lenient=True, besides=flags)
+    carried = [RowRule(rule.name, rule.kind, F.col(flag)) for rule, flag in zip(shape, flags)]
+    seen = Observation()
+    counts = [F.count_if(rule.broken).alias(f"n{i}") for i, rule in enumerate((*carried, *rows))]
+
+    def watch(placed: DataFrame) -> DataFrame:
+        return (placed.observe(seen, *counts) if counts else placed).drop(*flags)
+
+    write_declared(marked, spec, path, mode="error", watch=watch)
+    found = seen.get if counts else {}
+    lines = [(spec.name, r.name, r.kind, found[f"n{i}"]) for i, r in enumerate((*carried, *rows))]
+    return [line for line in lines[: len(carried)] if line[3]], lines[len(carried) :]
 
 
 def publish(
@@ -113,7 +116,8 @@ def publish(
     those of an earlier publication. A batch with columns that a table
     doesn't declare isn't written, one with values that don't fit isn't looked at
     for other faults; the audit then says just that. Otherwise each table of the
-    batch is read once, by its write.
+    batch is read once, by its write, or twice if it declares a layout, which
+    begins with a sample.
     """
     run = f"{dt.datetime.now(dt.timezone.utc):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
     paths = {spec.name: f"{target}/runs/{run}/{spec.name}" for spec in specs}

@@ -56,7 +56,7 @@ def test_each_row_is_read_once(spark, folder):
         seen.add(1)
         return value
 
-    source = spark.range(50).select(F.udf(look, "long")("id").alias("id"))
+    source = spark.range(50).select(F.udf(look, "long").asNondeterministic()("id").alias("id"))
     branches = source.select(*[F.lit("x").alias(c.name) if c.name != "id" else F.concat(F.lit("b"), F.col("id")).alias("id") for c in BRANCH.columns if c.name != "created_at"])
     branches = branches.withColumns({c: F.concat(F.lit("c"), F.col("id")) for c in ("code",)})
     loose = branches.select(*[F.col(c).cast(BRANCH.column(c).type).alias(c) if BRANCH.column(c).type.simpleString() == "string" else F.lit("1").alias(c) for c in branches.columns])
@@ -89,3 +89,13 @@ def test_another_fault_is_not_taken_for_a_first_publication(spark, folder):
     assert current_run(spark, folder) is None  # no row names a run
     with pytest.raises(Exception):
         current_run(spark, "nosuchscheme://" + folder)
+
+
+def test_rules_are_counted_once_in_a_declared_layout(spark, folder):
+    from dataclasses import replace
+
+    clustered = replace(SEMESTER, partition_by=("branch_id",), sort_by=("semester_number", "id"))
+    many = spark.range(200).select(F.col("id").cast("int").alias("id"), F.lit("A").alias("branch_id"), (F.col("id") % 10).cast("string").alias("semester_number"), F.lit("t").alias("academic_title"))
+    assert set(many.columns) <= {c.name for c in SEMESTER.columns}
+    done = publish(spark, {"semesters": many}, [clustered], folder, {"branches": _batch(spark, 1)["branches"]})
+    assert {(r.constraint, r.n_violations) for r in done.audit.collect() if r.kind == "check"} >= {("semester_number 1..8", 40)}
