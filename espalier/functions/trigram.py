@@ -14,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NOT_WORD = r"[^\p{L}\p{N}]+"
+WORD_CHARACTER = r"[\p{L}\p{N}]"
 
 
 def trigrams(col: Column) -> Column:

@@ -2,9 +2,9 @@
 
 Columns are named `level.column`, so that levels may use the same names.
 
-Joins start at the small end. The ancestors of a level are joined first and
-meet the next, larger level once, so each join of leaf rows has one exchange of
-them at most. Building a question starts no job. Which side is broadcast is
+The ancestors of a level are joined among themselves first, the small end before
+the large, and meet the next, larger level once, so each join of leaf rows has
+one exchange of them at most. Building a question starts no job. Which side is broadcast is
 Spark's choice, by the sizes that adaptive execution measures, and skewed
 partitions of the large side are split at run time.
 """
@@ -18,6 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from espalier.operators.bitmaps import counted, distinct_bitmaps
 from espalier.spec import names
 
 
@@ -28,7 +29,8 @@ class Level:
     `key` identifies its rows and `parent_key` holds the key of the level
     above. Set `unique=False` where rows may repeat a key below one parent;
     counts then take each key once. A key may hang below one parent only:
-    `summary` counts it once below each, `summary_plain` once in all.
+    `summary` counts it once below each, `summary_plain` and `summary_bitmap`
+    once in all.
     """
 
     name: str
@@ -190,6 +192,52 @@ class Hierarchy:
             *[_ref(source).alias(out) for out, source in picked.items()], *titles.values()
         )
 
+    def summary_bitmap(
+        self,
+        level: str,
+        ids: Mapping[str, Column],
+        flag: Column | None = None,
+        columns: Mapping[str, str] | None = None,
+        counts: Mapping[str, str] | None = None,
+    ) -> DataFrame:
+        """The counts of `summary` for keys that may hang below several parents:
+        each counts once per row of `level`, however many paths lead to it.
+
+        `ids` gives, per lower level, a dense whole number that identifies its
+        key, over its own columns. A level's numbers are gathered in bitmaps per
+        row of `level`, and rows that repeat a number only set its bit again, so
+        no row is copied per count and nothing is grouped by key. For upper levels
+        that are few against what hangs below them.
+        """
+        at = self._at(level)
+        titles = self._titles(at, flag, counts)
+        ups = [f"__up{i}" for i in range(len(self.levels[at].keys))]
+        rows = self._down_to(at)
+        match = [_ref(k) == F.col(up) for k, up in zip(self._keys(at), ups)]
+        paths: DataFrame | None = None
+        for lv in self.levels[at + 1 :]:
+            own = [_ref(k).alias(f"__key{i}") for i, k in enumerate(lv.keys)]
+            is_leaf = lv is self.levels[-1]
+            flagged = flag if is_leaf and flag is not None else F.lit(False)
+            links = [_ref(p).alias(f"__to{i}") for i, p in enumerate(lv.parents)]
+            here = lv.df.select(*links, *own, ids[lv.name].alias("__id"), flagged.alias("__flagged"))
+            if paths is None:
+                here = here.withColumnsRenamed({f"__to{i}": up for i, up in enumerate(ups)})
+            else:
+                above = paths.select(*ups, *[F.col(f"__key{i}").alias(f"__of{i}") for i in range(len(links))])
+                here = here.join(above, [F.col(f"__to{i}") == F.col(f"__of{i}") for i in range(len(links))])
+            paths = here.select(*ups, *[f"__key{i}" for i in range(len(own))], "__id", "__flagged")
+            wanted = {titles[lv.name]: None}
+            if is_leaf and flag is not None:
+                wanted[titles["flag"]] = F.col("__flagged")
+            below = counted(distinct_bitmaps(paths, ups, F.col("__id"), wanted), ups, list(wanted))
+            rows = rows.join(below, match, "left").drop(*ups)
+        picked = self._pick(columns, upto=at)
+        return rows.select(
+            *[_ref(source).alias(out) for out, source in picked.items()],
+            *[F.coalesce(_ref(out), F.lit(0)).alias(out) for out in titles.values()],
+        )
+
     # --- parts -----------------------------------------------------------
 
     def _at(self, level: str) -> int:
@@ -210,7 +258,7 @@ class Hierarchy:
         ]
 
     def _down_to(self, at: int) -> DataFrame:
-        """Inner joins from the root to the level at `at`, larger side first."""
+        """Inner joins from the root to the level at `at`: each level, as the left side, meets all above it."""
         while len(self._chains) <= at:
             i = len(self._chains)
             rows = self._named(self.levels[i])

@@ -42,7 +42,10 @@ class Column:
 
     `default` is a literal, or a function that takes the load instant (a
     Column) and returns a Column. `generated` marks a surrogate key that
-    `assign_keys` fills.
+    `assign_keys` fills. `collation` gives a text column an order of its own, by
+    one of Spark's names (`UTF8_LCASE`, `UNICODE_CI`, `de_AI` …): sorting,
+    grouping, keys and joins of the declared table then follow it. Without one,
+    texts are ordered and compared by their bytes.
     """
 
     name: str
@@ -52,6 +55,13 @@ class Column:
     max_length: int | None = None
     domain: Domain | None = None
     generated: bool = False
+    collation: str | None = None
+
+    def __post_init__(self) -> None:
+        if self.collation is not None:
+            if not isinstance(self.type, T.StringType):
+                raise ValueError(f"{self.name} is no text, so it has no collation")
+            object.__setattr__(self, "type", T.StringType(self.collation))
 
 
 @dataclass(frozen=True)

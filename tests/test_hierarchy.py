@@ -1,7 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from espalier.operators.hierarchy import Hierarchy, Level
+from espalier.plans.star import sales
 from tests.conftest import rows
 
 
@@ -125,3 +128,48 @@ def test_full_with_null_and_repeated_parent_keys(spark):
 def test_merged_rows_are_not_sorted_by_hidden_columns(tree):
     with pytest.raises(ValueError, match="don't show"):
         tree.summary("course", None, {"b": "branch.title"}, order_by=["course.title"], merge_equal=True)
+
+
+# --- bitmaps ---------------------------------------------------------------
+
+
+def test_keys_below_several_parents_count_once(spark):
+    from espalier.operators.bitmaps import distinct_rollup
+
+    rng = random.Random(6)
+    top = [(i,) for i in range(5)] + [(None,)]
+    mid = [(i, rng.choice([0, 1, 2, 3, None])) for i in range(30)] + [(None, 1)]
+    leaf = [(rng.choice([None, 0, 40_000, 2**40, *range(50)]), rng.choice([None, *range(30)]), rng.random() < 0.5) for _ in range(400)]
+    tree = Hierarchy([
+        Level("top", spark.createDataFrame(top, "t long"), "t"),
+        Level("mid", spark.createDataFrame(mid, "m long, up long"), "m", "up"),
+        Level("leaf", spark.createDataFrame(leaf, "l long, over long, f boolean"), "l", "over", unique=False)])
+    ids = {"mid": F.col("m"), "leaf": F.col("l")}
+    columns = {"t": "top.t"}
+    got = rows(tree.summary_bitmap("top", ids, F.col("f"), columns))
+    assert got == rows(tree.summary_plain("top", F.col("f"), columns))
+    hand = []
+    for (t,) in top:
+        ms = {m for m, up in mid if t is not None and up == t and m is not None}
+        ls = {x for x, over, _ in leaf if over in ms and x is not None}
+        hand.append((t, len(ms), len(ls), len({x for x, over, f in leaf if over in ms and x is not None and f})))
+    assert got == sorted(hand, key=repr)
+    frame = spark.createDataFrame([(a or 0, b or 0, c) for a, b, c in leaf], "l long, g long, f boolean").withColumn("h", F.col("g") % 3)
+    rolled = distinct_rollup(frame, [["g", "h"], ["h"], []], F.col("l"), {"n": None, "m": F.col("f")})
+    sets = {}
+    for r in frame.collect():
+        for at in ((0, r.g, r.h), (1, None, r.h), (2, None, None)):
+            n, m = sets.setdefault(at, (set(), set()))
+            n.add(r.l)
+            m |= {r.l} if r.f else set()
+    assert rows(rolled) == sorted(((*at, len(n), len(m)) for at, (n, m) in sets.items()), key=repr)
+    with pytest.raises(ValueError):
+        distinct_rollup(frame, [["g"], ["h"]], F.col("l"), {"n": None})
+
+
+def test_bitmaps_copy_no_rows(spark):
+    tree = sales(spark, "/root/testdata/sf0.001")
+    ids = {"customer": F.col("c_custkey"), "orders": F.col("o_orderkey"), "lineitem": F.col("l_orderkey") * 8 + F.col("l_linenumber")}
+    got = tree.summary_bitmap("nation", ids, F.col("l_returnflag") == "R", {"n": "nation.n_name"})
+    assert "Expand" not in got._jdf.queryExecution().executedPlan().toString()
+    assert rows(got) == rows(tree.summary("nation", F.col("l_returnflag") == "R", {"n": "nation.n_name"}))

@@ -6,10 +6,13 @@ from pyspark.sql import functions as F
 
 from espalier.functions.trigram import Threshold, codes, similarity, trigrams
 from espalier.operators.search import (
+    TitleIndex,
     _pattern_trigrams,
     fuzzy_search,
     index_pattern_search,
     index_search,
+    pattern_candidates,
+    pattern_trigrams,
     pattern_search,
     trigram_index,
     write_index,
@@ -104,10 +107,66 @@ def test_pattern_search_scan_and_index_agree(spark, pattern):
 
 
 def test_pattern_trigrams_pad_only_closed_ends():
-    assert sorted(_pattern_trigrams("%idge%")) == ["dge", "idg"]
-    assert sorted(_pattern_trigrams("red%")) == ["  r", " re", "red"]
-    assert sorted(_pattern_trigrams("%d wi")) == ["  w", " wi", "wi "]
-    assert sorted(_pattern_trigrams("a_b")) == ["  a"]  # "b " is too short
+    letters = frozenset("abcdefghijklmnopqrstuvwxyz")
+    assert sorted(sum(_pattern_trigrams("%idge%", letters), [])) == ["dge", "idg"]
+    assert sorted(sum(_pattern_trigrams("red%", letters), [])) == ["  r", " re", "red"]
+    assert sorted(sum(_pattern_trigrams("%d wi", letters), [])) == ["  w", " wi", "wi "]
+    assert sorted(sum(_pattern_trigrams("a_b", letters), [])) == ["  a"]  # "b " is too short
+
+
+@pytest.mark.parametrize("pattern", ["%ab\U0001e4d0cd%", "\U0001e4d0%", "%\U0001e4d0\U0001e4d1\U0001e4d0%", "%İst%", "%ﬁne%"])
+def test_letters_that_only_one_side_knows(spark, pattern):
+    """Titles are cut into runs by Spark, whose Unicode is older than Python's."""
+    df = spark.createDataFrame([(1, "xab\U0001e4d0cdx"), (2, "\U0001e4d0\U0001e4d1\U0001e4d0"), (3, "abcd"), (4, "İstanbul"), (5, "a ﬁne day")], "id long, title string")
+    index = trigram_index(df, "id", "title")
+    found = rows(pattern_search(df, "title", pattern))
+    assert len(found) >= 1 and rows(index_pattern_search(index, df, "id", "title", pattern)) == found
+
+
+def test_several_lists_narrow_more_than_one(spark):
+    data = [(i, f"alpha {'beta' if i % 2 else 'gamma'} {'delta' if i % 3 else 'omega'} {i}") for i in range(300)]
+    df = spark.createDataFrame(data, "id long, title string")
+    index = trigram_index(df, "id", "title")
+    pattern = "%beta omega%"
+    found = {r.id for r in pattern_search(df, "title", pattern).collect()}
+    narrowed = [r.id for r in pattern_candidates(index, "id", pattern).collect()]
+    assert len(narrowed) == len(set(narrowed)) and found <= set(narrowed) and len(narrowed) <= 60
+    shortest = min(index.filter(F.col("trigram").isin(sum(pattern_trigrams(spark, pattern), []))).groupBy("trigram").count().collect(), key=lambda r: r["count"])
+    assert shortest["count"] >= 100  # one list alone leaves twice as many
+    assert pattern_candidates(index, "id", "%zzz%").count() == 0
+    assert pattern_candidates(index, "id", "%a%") is None
+
+
+# --- upkeep --------------------------------------------------------------
+
+
+def test_an_index_follows_its_table(spark, folder):
+    dice = random.Random(9)
+    index, now = TitleIndex(spark, folder, "id", "title", most_runs=3), {}
+    with pytest.raises(LookupError):
+        index.read()
+    for batch in range(6):
+        gone = dict(dice.sample(sorted(now.items()), len(now) // 3))
+        new = {i: " ".join(dice.choice(["red", "blue", "Widget", "bolt", "é"]) for _ in range(dice.randint(0, 3))) for i in dice.sample(range(40), 12) if i not in now or i in gone}
+        now = {**{k: v for k, v in now.items() if k not in gone}, **new}
+        index.apply(str(batch), *[spark.createDataFrame(list(d.items()), "id long, title string") for d in (new, gone)])
+        index.apply(str(batch), spark.createDataFrame([(99, "twice")], "id long, title string"))
+        rebuilt = trigram_index(spark.createDataFrame(list(now.items()), "id long, title string"), "id", "title")
+        assert rows(index.read().select("trigram", "id", "set_size")) == rows(rebuilt)
+        assert len(index.log.newest()[1]) <= 3
+        assert rows(index_search(index.read(), "id", "red widget")) == rows(index_search(rebuilt, "id", "red widget"))
+    index.compact()
+    index.compact()
+    assert len(index.log.newest()[1]) == 1
+    assert rows(index.read().select("trigram", "id", "set_size")) == rows(rebuilt)
+
+
+def test_a_search_reads_its_own_trigrams_of_every_run(spark, folder):
+    index = TitleIndex(spark, folder, "id", "title")
+    for batch in ("a", "b"):
+        index.apply(batch, spark.createDataFrame([(ord(batch), "red widget " + batch)], "id long, title string"))
+    plan = index.read().filter(F.col("trigram") == "red")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(trigram,red)" in plan
 
 
 # --- similarity join -----------------------------------------------------
