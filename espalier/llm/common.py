@@ -32,6 +32,17 @@ def q(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+def unused(df: DataFrame, *wanted: str) -> tuple[str, ...]:
+    """Names for helper columns that no column of `df` has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return tuple(out)
+
+
 def text_of(name: str) -> Column:
     return F.coalesce(q(name).cast("string"), F.lit(""))
 

@@ -3,8 +3,8 @@
 One reading of the texts leaves a slim table of digests. A Misra-Gries summary
 of it names every digest that could hold a large share of the rows; these few
 are counted exactly and their winners broadcast, so rows with a frequent text
-are settled where they lie. All other rows take an ordinary exchange, in which
-no group can be large.
+are settled where they lie. All other rows take an ordinary exchange: groups are
+counted on their way to it, and meet their winner in a join.
 """
 
 from __future__ import annotations
@@ -12,11 +12,11 @@ from __future__ import annotations
 from collections import Counter
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from espalier.durable import materialize
-from espalier.llm.common import SPACE, nulls_last, q, text_of
+from espalier.llm.common import SPACE, q, text_of, unused
 
 COUNTERS = 1023
 
@@ -85,25 +85,20 @@ def duplicate_groups(
         .agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("group_size")),
         "winners",
     )
-    settled = slim.join(F.broadcast(winners), "digest").select(
-        "doc_id",
-        F.col("first.doc_id").alias("keep_id"),
-        "group_size",
-        (F.col("row_no") == F.col("first.row_no")).alias("kept"),
-        "digest",
-    )
-    alike = Window.partitionBy("digest")
-    order = alike.orderBy(*nulls_last(F.col("doc_id")), "row_no")
-    rest = slim.join(F.broadcast(winners.select("digest")), "digest", "left_anti").select(
-        "doc_id",
-        F.min("doc_id").over(alike).alias("keep_id"),
-        F.count(F.lit(1)).over(alike).alias("group_size"),
-        (F.row_number().over(order) == 1).alias("kept"),
-        "digest",
-    )
-    return settled.unionByName(rest).select(
-        "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
-    )
+    rest = slim.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
+    # Combined before the exchange; the join back is one that can be split.
+    firsts = rest.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("group_size"))
+
+    def settled(rows: DataFrame, groups: DataFrame) -> DataFrame:
+        return rows.join(groups, "digest").select(
+            "doc_id",
+            F.col("first.doc_id").alias("keep_id"),
+            "group_size",
+            (F.col("row_no") == F.col("first.row_no")).alias("kept"),
+            F.lower(F.hex("digest")).alias("text_sha256"),
+        )
+
+    return settled(slim, F.broadcast(winners)).unionByName(settled(rest, firsts))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -112,10 +107,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     A document is known by its id here: rows that repeat the id of a winner
     with an equal text stay together.
     """
-    kept = (
-        duplicate_groups(docs, id_col, text_col)
-        .filter("kept")
-        .select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest"))
-    )
-    same = q(id_col).eqNullSafe(F.col("__id")) & (F.sha2(normalised(text_col), 256) == F.col("__digest"))
+    own, digest = unused(docs, "own_id", "digest")
+    kept = duplicate_groups(docs, id_col, text_col).filter("kept").select("doc_id", "text_sha256").toDF(own, digest)
+    same = q(id_col).eqNullSafe(q(own)) & (F.sha2(normalised(text_col), 256) == q(digest))
     return docs.join(kept, same, "left_semi")

@@ -141,21 +141,42 @@ class Lattice:
     def expected(self, table: np.ndarray, rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Expected piece counts as (language, piece, count), for one language per word."""
         n_words = len(self.lengths)
+        everything = np.arange(n_words)
         ahead, back = np.zeros((self.width + 1, n_words)), np.zeros((self.width + 1, n_words))
-        ahead[0] = 1.0
+        # Logs of what the sums at each place have been scaled by; long words need it.
+        ahead_logs, back_logs = np.zeros_like(ahead), np.zeros_like(back)
+        ahead[0], scale = 1.0, np.zeros(n_words)
         for end in range(1, self.width + 1):
             for n in range(1, min(self.steps, end) + 1):
                 ahead[end] += ahead[end - n] * self.weights(table, n, end - n, rows)
-        back[self.lengths, np.arange(n_words)] = 1.0
+            ahead_logs[end] = scale
+            low = (ahead[end] < 1e-100) & (end <= self.lengths)
+            if low.any():
+                near = slice(max(0, end - self.steps), end + 1)
+                ahead[near, low] *= 1e100
+                ahead_logs[near, low] += np.log(1e100)
+                scale[low] += np.log(1e100)
+        back[self.lengths, everything] = 1.0
+        scale = np.zeros(n_words)
         for start in range(self.width - 1, -1, -1):
             for n in range(1, min(self.steps, self.width - start) + 1):
                 back[start] += self.weights(table, n, start, rows) * back[start + n]
+            back_logs[start] = scale
+            low = (back[start] < 1e-100) & (start < self.lengths)
+            if low.any():
+                near = slice(start, min(self.width, start + self.steps) + 1)
+                back[near, low] *= 1e100
+                back_logs[near, low] += np.log(1e100)
+                scale[low] += np.log(1e100)
         total = np.maximum(back[0], 1e-300)
+        scaled = ahead_logs.any() or back_logs.any()
         at, piece, count = [], [], []
         for n in range(1, self.steps + 1):
             for start in range(self.width - n + 1):
                 ids = self.ids[n - 1][:, start]
                 share = ahead[start] * self.weights(table, n, start, rows) * back[start + n] / total * counts
+                if scaled:
+                    share = share * np.exp(back_logs[0] - ahead_logs[start] - back_logs[start + n])
                 some = np.flatnonzero((ids >= 0) & (share > 0))
                 at.append(rows[some])
                 piece.append(ids[some])
@@ -165,9 +186,6 @@ class Lattice:
 
 # --- learning ----------------------------------------------------------------
 
-_LONGEST_LEARNT = 40
-
-
 def _expectations(sent):
     """Expected counts of one task's words, added up by language and piece."""
 
@@ -234,7 +252,6 @@ def learn(
             F.element_at(numbers, q(lang_col)).alias("at"),
             F.explode(F.regexp_extract_all(F.lower(text_of(text_col)), F.lit(_LETTERS), F.lit(0))).alias("word"),
         )
-        .filter(F.length("word") <= _LONGEST_LEARNT)
         .groupBy("at", "word")
         .agg(F.count(F.lit(1)).alias("n")),
         "langid-words",

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from espalier.durable import materialize
-from espalier.llm.common import SPACES, q, raw, shuffle_partitions, small_batches, text_of
+from espalier.llm.common import SPACES, q, raw, shuffle_partitions, small_batches, text_of, unused
 
 SHORTEST = 10
 # Bits of one filter: eight per line of the corpus, within these bounds. The
@@ -205,12 +205,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .groupBy("key_id", "key_text")
         .agg(F.flatten(F.collect_list("places")))
     )
-    drops = drops.toDF("__drop_id", "__drop_text", "__drops")
-    keyed = docs.select("*", key[0].alias("__id"), key[1].alias("__text"))
-    match = F.col("__id").eqNullSafe(F.col("__drop_id")) & (F.col("__text") == F.col("__drop_text"))
-    joined = keyed.join(drops, match, "left").withColumn("__new", _rebuild(text_of(text_col), F.col("__drops")))
+    drop_id, drop_text, places, own_id, own_text, new = unused(docs, "drop_id", "drop_text", "drops", "own_id", "own_text", "new")
+    drops = drops.toDF(drop_id, drop_text, places)
+    keyed = docs.select("*", key[0].alias(own_id), key[1].alias(own_text))
+    match = q(own_id).eqNullSafe(q(drop_id)) & (q(own_text) == q(drop_text))
+    joined = keyed.join(drops, match, "left").withColumn(new, _rebuild(text_of(text_col), q(places)))
     counts = ("n_lines", "n_dropped")
     return joined.select(
-        *[F.col("__new.kept").alias(c) if c == text_col else q(c) for c in docs.columns if c.lower() not in counts],
-        *[F.col(f"__new.{c}").alias(c) for c in counts],
+        *[q(new)["kept"].alias(c) if c == text_col else q(c) for c in docs.columns if c.lower() not in counts],
+        *[q(new)[c].alias(c) for c in counts],
     )

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from espalier.durable import materialize
-from espalier.llm.common import WORD, q, row_key, shuffle_partitions, text_of
+from espalier.llm.common import WORD, q, row_key, shuffle_partitions, text_of, unused
 from espalier.operators.keys import assign_keys
 
 WEIGHTS = (5, 2, 1)
@@ -137,14 +137,11 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     document; `mix` has the exact words.
     """
     chosen = mix(docs, id_col, text_col, source_col, **how)
-    often = chosen.groupBy("key_id", "key_text", "source").agg(F.max("epochs").alias("__epochs"))
-    key = row_key(id_col, text_col)
-    keyed = docs.select("*", key[0].alias("__id"), key[1].alias("__text"), q(source_col).cast("string").alias("__source"))
-    often = often.toDF("__often_id", "__often_text", "__often_source", "__epochs").filter("__epochs > 0")
-    match = (
-        (F.col("__id") == F.col("__often_id"))
-        & (F.col("__text") == F.col("__often_text"))
-        & F.col("__source").eqNullSafe(F.col("__often_source"))
-    )
-    repeated = keyed.join(often, match).withColumn("__epoch", F.explode(F.sequence(F.lit(1), F.col("__epochs"))))
+    often = chosen.groupBy("key_id", "key_text", "source").agg(F.max("epochs").alias("epochs")).filter("epochs > 0")
+    key = [*row_key(id_col, text_col), q(source_col).cast("string")]
+    names = unused(docs, "own_id", "own_text", "own_source", "often_id", "often_text", "often_source", "epochs", "epoch")
+    own, of, epochs, epoch = names[:3], names[3:6], names[6], names[7]
+    keyed = docs.select("*", *[c.alias(n) for c, n in zip(key, own)])
+    match = [q(a).eqNullSafe(q(b)) for a, b in zip(own, of)]
+    repeated = keyed.join(often.toDF(*of, epochs), match).withColumn(epoch, F.explode(F.sequence(F.lit(1), q(epochs))))
     return repeated.select(*[q(c) for c in docs.columns])

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from espalier.durable import materialize
-from espalier.llm.common import WORD, q, row_key, text_of
+from espalier.llm.common import WORD, q, row_key, text_of, unused
 
 # The classifier is fitted on about so many labelled documents, chosen by a hash of the id.
 MOST_LABELLED = 20_000
@@ -200,7 +200,6 @@ def judge(
 def keep_good(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of `docs` that `judge` keeps, with all their columns."""
     good = judge(docs, labels, host, path, id_col, text_col, **how).filter("keep").select("key_id", "key_text").distinct()
-    key = row_key(id_col, text_col)
-    good = good.toDF("__good_id", "__good_text")
-    match = (key[0] == F.col("__good_id")) & (key[1] == F.col("__good_text"))
-    return docs.join(good, match, "left_semi")
+    names = unused(docs, "good_id", "good_text")
+    match = [own == q(name) for own, name in zip(row_key(id_col, text_col), names)]
+    return docs.join(good.toDF(*names), match, "left_semi")

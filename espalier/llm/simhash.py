@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from espalier.durable import materialize
-from espalier.llm.common import connected, q, raw, small_batches, text_of
+from espalier.llm.common import connected, q, raw, small_batches, text_of, unused
 
 SHINGLE = 3
 RADIUS = 3
@@ -161,5 +161,6 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows with a null id, which stay only in a component without other ids.
     """
     found = near_duplicates(docs, id_col, text_col).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stays = found.select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(stays, q(id_col).eqNullSafe(F.col("__id")), "left_semi")
+    [own] = unused(docs, "own_id")
+    stays = found.select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(stays, q(id_col).eqNullSafe(q(own)), "left_semi")

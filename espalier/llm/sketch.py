@@ -3,9 +3,8 @@
 A fingerprint keeps every hash of a shingle that lies below a fixed fraction of
 the hash range, and no other. Fingerprints of any two texts are therefore samples
 of the same hashes: their union is the sample of both, and shares of common hashes
-estimate resemblance and containment however unequal the texts. The fraction is
-the whole range by default, as a smaller one leaves short texts with few hashes
-or none; shares are then exact, up to clashes of hashes.
+estimate resemblance and containment however unequal the texts. A short text may
+keep no hash at all: its sketch says nothing, and nothing is put in its place.
 """
 
 from __future__ import annotations
@@ -19,15 +18,14 @@ from espalier.operators.keys import assign_keys, last_key
 
 SHINGLE = 5
 # One hash in so many is kept: those below -2**63 + 2**64 / SCALE.
-SCALE = 1
+SCALE = 4
 
 
 def sketch(text: Column, scale: int = SCALE, shingle: int = SHINGLE) -> Column:
     """The kept hashes in ascending order.
 
-    A text of fewer words is one shingle. At scale 1 only a text without words
-    has no hash; at a larger scale so has a text all of whose hashes lie above
-    the bound, and it then counts as empty below.
+    A text of fewer words is one shingle. A text without words has no hash, nor has
+    one all of whose hashes lie above the bound.
     """
     last = F.lit(-(1 << 63) + (1 << 64) // scale - 1)
 
@@ -57,14 +55,14 @@ def merge(a: Column, b: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Estimated share of common shingles among all of both, 0 to 1; equal sketches, empty ones too, give 1."""
+    """Estimated share of common shingles among all of both, 0 to 1; 0 for two empty sketches, which show nothing in common."""
     common = F.size(F.array_intersect(a, b))
     every = F.size(a) + F.size(b) - common
-    return F.when(every == 0, F.lit(1.0)).otherwise(common / every)
+    return F.when(every == 0, F.lit(0.0)).otherwise(common / every)
 
 
 def containment(a: Column, b: Column) -> Column:
-    """Estimated share of `a`'s shingles that `b` holds, 0 to 1; 1 for an empty `a`."""
+    """Estimated share of `a`'s shingles that `b` holds, 0 to 1; 1 for an empty `a`, which misses none."""
     return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
 
 
@@ -81,10 +79,13 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     it has fewer); the first document follows the last. A null text is empty, a
     null id comes last. Rows equal in id and text are one document in this
     order; rows that share only the id are ordered by a hash of their texts. A
-    lone document is its own next.
+    lone document is its own next. Equal texts have likeness 1 and hold each
+    other whatever their sketches keep; `n_kept` and `n_kept_edited` tell how many
+    hashes an estimate rests on. An empty table gives no rows.
 
-    Whole texts move twice, to meet their place in the order and on to the
-    document before, where all sketches are made: a text is smaller than its hashes.
+    A text's own sketch is made once, before it moves: it goes with the text to
+    its place in the order, and with the first part of the text, in place of the
+    whole, on to the document before.
     """
     key = [
         q(id_col).isNull().alias("late"),
@@ -103,32 +104,42 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         F.struct(*names, F.expr("n div 4").alias("part")).alias("to"),
     )
     places = materialize(ranked.join(before, "rank").drop("rank", "n"), "sketch-places")
-    placed = texts.join(places, names)
+    sketched = texts.select("*", sketch(F.col("text")).alias("sketch")).repartition(*names)
+    placed = sketched.join(places, names)
     given = placed.select(
         *[F.col(f"to.{c}").alias(c) for c in names],
         F.col("copies"),
-        F.col("to.part").cast("int").alias("part"),
-        F.col("text").alias("next"),
+        F.left("text", F.col("to.part").cast("int")).alias("head"),
+        F.struct("mark", F.length("text").alias("n"), "sketch").alias("next"),
     )
     # Copies of one row would each give the same; only those need the grouping.
     once = given.filter("copies = 1").unionByName(given.filter("copies > 1").dropDuplicates(names)).drop("copies")
     n = F.length("text")
-    edited = F.concat(F.left("text", n - F.floor(n / 4).cast("int")), F.left("next", F.col("part")))
+    edited = F.concat(F.left("text", n - F.floor(n / 4).cast("int")), F.col("head"))
     both = placed.join(once, names).select(
         F.when(~F.col("late"), F.col("id")).alias("doc_id"),
         n.cast("long").alias("n_chars"),
         F.sha2(edited, 256).alias("edited_sha256"),
-        sketch(F.col("text")).alias("sketch"),
+        "sketch",
         sketch(edited).alias("edited_sketch"),
-        sketch(F.col("next")).alias("next_sketch"),
+        F.col("next.sketch").alias("next_sketch"),
+        (edited == F.col("text")).alias("same"),
+        ((F.col("next.mark") == F.col("mark")) & (F.col("next.n") == n)).alias("same_next"),
     )
+    own, other, following = (F.col(c) for c in ("sketch", "edited_sketch", "next_sketch"))
+
+    def unless_same(same: str, estimate: Column) -> Column:
+        return F.when(F.col(same), F.lit(1.0)).otherwise(estimate)
+
     return both.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        written(F.col("sketch")).alias("fingerprint"),
-        written(F.col("edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
-        containment(F.col("sketch"), F.col("edited_sketch")).alias("held_by_edited"),
+        written(own).alias("fingerprint"),
+        written(other).alias("edited_fingerprint"),
+        unless_same("same", likeness(own, other)).alias("near_edited"),
+        unless_same("same_next", likeness(own, following)).alias("near_next"),
+        unless_same("same", containment(own, other)).alias("held_by_edited"),
+        F.size(own).alias("n_kept"),
+        F.size(other).alias("n_kept_edited"),
     )

@@ -137,6 +137,7 @@ def _round(dim: int, blocks: int, codes: int, at: int) -> tuple[np.ndarray, list
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
+    vectors = vectors.astype(np.float64)
     vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)  # so that no square overflows
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
@@ -299,9 +300,10 @@ def near_vectors(
     A link can only be missed where no filter of the rounds that both vectors
     take part in is passed by both; the share is measured in the tests.
     """
-    slim = vectors.select(
-        q(id_col).alias("vec_id"), q(label_col).alias("label"), q(vector_col).cast("array<double>").alias("embedding")
-    )
+    column = q(vector_col)
+    if vectors.select(column).schema[0].dataType.simpleString() != "array<float>":
+        column = column.cast("array<double>")
+    slim = vectors.select(q(id_col).alias("vec_id"), q(label_col).alias("label"), column.alias("embedding"))
     sound = F.col("label").isNotNull() & _sound(F.col("embedding"))
     classes = materialize(
         slim.filter(sound)

@@ -91,7 +91,9 @@ class Rollup:
     def _committed(self) -> DataFrame | None:
         try:
             return self.spark.read.schema("batch string, place string").json(f"{self.path}/commits/*")
-        except AnalysisException:
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             return None
 
     def batches(self) -> list[str]:

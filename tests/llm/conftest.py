@@ -72,7 +72,9 @@ def clashing(docs):
 
     names = (
         "n_lines kept key_id key_text line size words bin print target range place rank id mark late n copies p sum "
-        "host path of good keep ids fills score lang_pred tokens tokenizer html"
+        "host path of good keep ids fills score lang_pred tokens tokenizer html own_id own_text own_source often_id "
+        "often_text often_source epochs epoch good_id good_text drop_id drop_text drops new digest digest_ __id __text "
+        "__drop_id __drop_text __drops __new __often_id __epochs __epoch __good_id __good_text __digest __source"
     ).split()
     return docs.select("*", *[F.lit("x").alias(n) for n in names])
 

@@ -118,7 +118,7 @@ def test_fingerprints(spark, rows):
         assert by_text.setdefault(own[r.doc_id] or "", r.fingerprint) == r.fingerprint
         assert by_text.setdefault(text, r.edited_fingerprint) == r.edited_fingerprint
         assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
-        assert (r.near_edited == 1) >= (r.fingerprint == r.edited_fingerprint)
+        assert (r.near_edited == 1) >= (r.fingerprint == r.edited_fingerprint != "" or own[r.doc_id] == text)
 
 
 def test_fingerprints_estimate(spark):
@@ -134,16 +134,32 @@ def test_fingerprints_estimate(spark):
 
 
 def test_fingerprints_of_short_texts(spark):
+    """The fewer words, the rougher: without a kept hash nothing is claimed."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     own = {r.doc_id: r.text or "" for r in docs.collect()}
     hand = edited_by_hand(list(own.items()))
-    short = 0
+    off = {}
     for r in sketch.compare_with_next(docs).collect():
         a, b = shingles(own[r.doc_id]), shingles(hand[r.doc_id][1])
-        short += 0 < len(a) < 45
-        assert r.near_edited == pytest.approx(len(a & b) / len(a | b) if a | b else 1.0)
-        assert r.held_by_edited == pytest.approx(len(a & b) / len(a) if a else 1.0)
-    assert short > 20
+        true = len(a & b) / len(a | b) if a | b else 1.0
+        assert (r.n_kept, r.n_kept_edited) == (len(r.fingerprint) / 16, len(r.edited_fingerprint) / 16)
+        if own[r.doc_id] == hand[r.doc_id][1]:
+            assert r.near_edited == r.held_by_edited == 1.0
+        elif not r.n_kept and not r.n_kept_edited:
+            assert (r.near_edited, r.held_by_edited) == (0.0, 1.0)
+        off.setdefault(min(len(a), 400) // 100 * 100, []).append(abs(r.near_edited - true))
+    mean = {size: sum(x) / len(x) for size, x in off.items()}
+    assert len(off[0]) > 30 and mean[0] < 0.2 and mean[100] < 0.1 and mean[400] < 0.05, mean
+
+
+def test_sketches_are_a_quarter_of_the_hashes(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    kept, every = 0, 0
+    for r in sketch.compare_with_next(docs).select("doc_id", "n_kept").join(docs, "doc_id").collect():
+        kept, every = kept + r.n_kept, every + len(shingles(r.text))
+    assert 0.24 < kept / every < 0.26
+    hashes = docs.select(sketch.sketch(F.col("text")).alias("s")).agg(F.max(F.array_max("s"))).first()[0]
+    assert hashes < -(2**63) + 2**64 // sketch.SCALE
 
 
 @pytest.mark.parametrize("scale", [1, 2, 8])
