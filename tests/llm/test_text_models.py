@@ -206,6 +206,92 @@ def test_layout(page, text):
     assert html_text.render(page)[1] == text
 
 
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        # Text that browsers show.
+        ("<p>a<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>tex</annotation></math>", "ax=1"),
+        ("<textarea> a &amp; b\n <i>c</textarea>d", " a & b\n <i>c\nd"),
+        ("<select><option>one<option>two</select>", "one\ntwo"),
+        ("<svg><title>t</title><text>label</text>none<defs><text>no</text></defs></svg>!", "label\n!"),
+        ("<p>a<svg/>b</p>c", "ab\n\nc"),
+        ("<p>a<svg><path d='x'/><g/><text>b</text></svg>c", "a\nb\nc"),
+        ("<xmp><b>raw</b> &amp;</xmp>", "<b>raw</b> &amp;"),
+        ("<input type=submit value=Go> x <input type=hidden value=no>", "Go x"),
+        ("x<!-- y --!>z<!-->w<!-- open", "xzw"),
+        ("a < b > c <- d </ e", "a < b > c <- d </ e"),
+        # Rules of the page.
+        ("<style>@media print{.n{display:none}}</style><p class=n>menu", "menu"),
+        ("<style>@media screen and (min-width:300px){.n{display:none}}</style><p class=n>menu</p>x", "x"),
+        ("<style>@media (max-width: 600px){.n{display:none} .m{color:red}}</style><p class=n>menu", "menu"),
+        ("<style>/* x { */ .n{display:none}</style><p class=n>menu</p>y", "y"),
+        ("<style>@import 'a'; @font-face{src:x} .n , #k{color:red;display:none}</style><p class=n>a</p><p id=k>b</p>y", "y"),
+        ("<div style='visibility:hidden'>a<p style='visibility:visible'>b</p>c</div>", "b"),
+        ("<style>.h{visibility:hidden}.v{visibility:visible}</style><div class=h>a<b class=v>b</b>c</div>", "b"),
+        ("<div style='display:none'>a<p style='visibility:visible'>b</p></div>c", "c"),
+        # The tree.
+        ("<div><table><tr><td>a</div>b</td><td>c</td></tr><tr><td>d</td><td>e</td></tr></table></div>f", "ab | c\nd  | e\nf"),
+        ("<b>one<p>two</b>three</p>four", "one\n\ntwothree\n\nfour"),
+        ("<span>one<p>two</span>three</p>four", "one\n\ntwothree\n\nfour"),
+        ("<ul><li>a<ul><li>b</ul><li>c</ul>", "- a\n  - b\n- c"),
+        ("<table><tr><td>a<table><tr><td>x<td>y</table><td>b</table>", "a x | y | b"),
+        ("<ul><li hidden>a<li>b</ul>", "- b"),
+        # Tables.
+        ("<table><tr><td colspan=2>wide<td>c<tr><td>a<td>b<td>longer</table>", "wide  | c\na | b | longer"),
+        ("<table><tr><td colspan=2>wider than both<td>c<tr><td>a<td>b<td>d</table>", "wider than both | c\na | b           | d"),
+        ("<table><tr><td rowspan=2>r<td>1<tr><td>2<tr><td>s<td>3</table>", "r | 1\n  | 2\ns | 3"),
+        ("<table><tr><td>" + "w" * 50 + "<td>1<tr><td>a<td>2</table>", "w" * 50 + " | 1\na" + " " * 49 + " | 2"),
+    ],
+)
+def test_visible_text(page, text):
+    assert html_text.render(page)[1] == text
+
+
+def test_long_cells_are_wrapped_within_their_column():
+    long = " ".join(f"word{i}" for i in range(100))
+    lines = html_text.render(f"<table><tr><td>a<td>{long}<td>z<tr><td>bb<td>short<td>y</table>")[1].split("\n")
+    assert " ".join(line.split(" | ")[1].rstrip(" |") for line in lines[:-1]) == long
+    at = lines[0].index("| z")
+    assert lines[-1].index("| y") == at and max(map(len, lines)) < html_text.WIDEST + 20
+    solid = "x" * 1001
+    assert html_text.render(f"<table><tr><td>{solid}<td>z</table>")[1].count("x") == 1001
+
+
+_BROKEN = {
+    "nested": lambda n: "<div>" * n + "x" + "</div>" * n,
+    "lines of nested": lambda n: "<div>x" * n,
+    "open tags": lambda n: "<a " * n,
+    "quotes": lambda n: '<a ">"' * n,
+    "comments": lambda n: "<!--" * n,
+    "no rules": lambda n: "<style>" + "a" * n + "</style>",
+    "open rules": lambda n: "<style>" + "a{" * n,
+    "paragraphs in bold": lambda n: "<b><p>x</b>" * n,
+    "bold before": lambda n: "<b>" * n + "<p>" + "</b>" * n,
+    "cells": lambda n: "<table>" + "<tr><td>x" * n,
+    "rows without a table": lambda n: "<tr><td>" * n,
+    "lists": lambda n: "<ul><li>" * (n // 10),
+    "tables": lambda n: "<table><tr><td>" * (n // 50),
+    "spaces": lambda n: "<a " + " " * n + ">x",
+    "end tags": lambda n: "<p>" + "</div>" * n,
+    "drawings": lambda n: "<svg><text>a" * n,
+}
+
+
+@pytest.mark.parametrize("name", _BROKEN)
+def test_time_grows_with_the_page(name):
+    """Five times the page takes about five times as long, not twenty-five."""
+    import time
+
+    def seconds(n):
+        page, start = _BROKEN[name](n), time.process_time()
+        html_text.render(page)
+        return time.process_time() - start
+
+    seconds(1000)
+    small, large = seconds(8_000), seconds(40_000)
+    assert large < max(0.3, 12 * small)
+
+
 def test_layout_depth_and_title():
     title, text = html_text.render("<title>A\n b</title>" + "<div>" * 5000 + "deep" + "</div>" * 5000)
     assert (title, text) == ("A b", "deep")
