@@ -27,21 +27,15 @@ def _one_of(domain: Domain, number: str) -> Column:
     return F.get(F.array(*[F.lit(v) for v in domain.values]), (F.col(number) % len(domain.values)).cast("int"))
 
 
-# Topics that were numbered, by session and folder. Numbering sorts and stores
-# every line, so a session does it once for a folder, whose tables don't change.
-_NUMBERED: dict[tuple[str, int, str], DataFrame] = {}
 _TOPIC_ORDER = ["unit_id", "topic_title", "exam_tips", "importance_level", "is_high_yield"]
 
 
-def _numbered(spark: SparkSession, folder: str, topics: DataFrame) -> DataFrame:
-    at = (spark.sparkContext.applicationId, id(spark), folder)
-    if at not in _NUMBERED:
-        _NUMBERED[at] = assign_keys(topics, _TOPIC_ORDER)
-    return _NUMBERED[at]
+def derive(spark: SparkSession, folder: str, numbered: bool = False) -> Catalog:
+    """The catalogue over the tables of `folder`; building it starts no job.
 
-
-def derive(spark: SparkSession, folder: str, with_topics: bool = True) -> Catalog:
-    """`with_topics=False` leaves topics without ids, where nobody asks for them."""
+    Topics have ids that tell them apart. `numbered` gives them the dense ids of
+    a load, which sorts and stores every topic, for questions that show ids.
+    """
 
     def get(name: str) -> DataFrame:
         return table(spark, folder, name)
@@ -118,8 +112,9 @@ def derive(spark: SparkSession, folder: str, with_topics: bool = True) -> Catalo
         ),
     }
     tables = {name: conform(df, SPECS[name], _AS_OF) for name, df in raw.items()}
-    if with_topics:
-        tables["topics"] = _numbered(spark, folder, tables["topics"])
+    topics = tables["topics"]
+    ids = F.monotonically_increasing_id().alias("id")
+    tables["topics"] = assign_keys(topics, _TOPIC_ORDER) if numbered else topics.select(ids, "*")
     return Catalog(tables, SPECS)
 
 
@@ -186,7 +181,7 @@ def catalog_high_yield(spark: SparkSession, folder: str) -> DataFrame:
     """
 )
 def catalog_labs(spark: SparkSession, folder: str) -> DataFrame:
-    return derive(spark, folder, with_topics=False).lab_curriculum().withColumn("credits", F.col("credits").cast("double"))
+    return derive(spark, folder).lab_curriculum().withColumn("credits", F.col("credits").cast("double"))
 
 
 @query(
@@ -280,7 +275,7 @@ def catalog_cascade(spark: SparkSession, folder: str) -> DataFrame:
 )
 def catalog_topic_ids(spark: SparkSession, folder: str) -> DataFrame:
     """The ids that topics are given, next to what they are numbered by."""
-    topics = derive(spark, folder).tables["topics"].select("id", *_TOPIC_ORDER)
+    topics = derive(spark, folder, numbered=True).tables["topics"].select("id", *_TOPIC_ORDER)
     return topics.withColumn("is_high_yield", F.col("is_high_yield").cast("string"))
 
 
@@ -296,13 +291,13 @@ def _sql_similar(titles: str, text: str) -> str:
 
 @query(_sql_similar("SELECT course AS key, course_title AS title FROM course", "bulding custmer"))
 def catalog_course_search(spark: SparkSession, folder: str) -> DataFrame:
-    found = derive(spark, folder, with_topics=False).search_titles("courses", "bulding custmer")
+    found = derive(spark, folder).search_titles("courses", "bulding custmer")
     return found.select(F.col("id").alias("key"), F.col("course_title").alias("title"), "shared", "combined")
 
 
 @query(_sql_similar("SELECT unit AS key, topic_title AS title FROM topic", "red wigdet"))
 def catalog_topic_search(spark: SparkSession, folder: str) -> DataFrame:
-    found = derive(spark, folder, with_topics=False).search_titles("topics", "red wigdet")
+    found = derive(spark, folder).search_titles("topics", "red wigdet")
     return found.select(F.col("unit_id").alias("key"), F.col("topic_title").alias("title"), "shared", "combined")
 
 
@@ -316,7 +311,7 @@ def catalog_topic_search(spark: SparkSession, folder: str) -> DataFrame:
 def catalog_policy(spark: SparkSession, folder: str) -> DataFrame:
     """Readers see the first semesters and two categories of courses; answers hold nothing else."""
     policies = {"semesters": [F.col("semester_number") <= 3], "courses": [F.col("category") == "PCC", F.col("category") == "PEC"]}
-    seen = derive(spark, folder, with_topics=False).seen_through(policies)
+    seen = derive(spark, folder).seen_through(policies)
     return seen.lab_curriculum().groupBy("branch_name").agg(F.count(F.lit(1)).alias("n_experiments"))
 
 
