@@ -59,7 +59,9 @@ def write_declared(
     """Write rows in the layout that `spec` declares; without one, as they lie.
 
     `watch` is put in where rows are in place, right before they are written."""
-    if spec.sort_by or spec.partition_by:
+    if spec.z_by:
+        df = z_ordered(df, spec.z_by, partitions=partitions)
+    elif spec.sort_by or spec.partition_by:
         df = clustered(df, spec.sort_by, spec.partition_by, partitions)
     _save(watch(df), path, spec.partition_by, mode)
 
@@ -103,16 +105,24 @@ def _number(value: Column, kind: T.DataType) -> Column:
     return value.cast("double")
 
 
+def z_ordered(df: DataFrame, columns: Sequence[str], bits: int = 8, partitions: int | None = None) -> DataFrame:
+    """The rows dealt out by ranges of their `z_order` and sorted within them.
+
+    Cut points are those of `df`: files of a later batch are narrow in each
+    column as well, by the batch's own."""
+    ordered = df.withColumn(_Z, z_order(df, columns, bits))
+    ends = [F.col(_Z), row_hash(df)]
+    split = ordered.repartitionByRange(partitions, *ends) if partitions else ordered.repartitionByRange(*ends)
+    return split.sortWithinPartitions(_Z).drop(_Z)
+
+
 def write_z_ordered(df: DataFrame, path: str, columns: Sequence[str], bits: int = 8, partitions: int | None = None) -> None:
     """Files that are narrow in each of `columns`, so that a lookup by any of them skips most files.
 
     `write_clustered` serves its first column best and the others hardly at all;
     here each of k columns skips about as if there were n ** (1 / k) files.
     """
-    ordered = df.withColumn(_Z, z_order(df, columns, bits))
-    ends = [F.col(_Z), row_hash(df)]
-    split = ordered.repartitionByRange(partitions, *ends) if partitions else ordered.repartitionByRange(*ends)
-    split.sortWithinPartitions(_Z).drop(_Z).write.mode("overwrite").parquet(path)
+    _save(z_ordered(df, columns, bits, partitions), path, (), "overwrite")
 
 
 def write_bucketed(df: DataFrame, name: str, path: str, by: str | Iterable[str], buckets: int) -> DataFrame:

@@ -82,7 +82,8 @@ class ForeignKey:
 @dataclass(frozen=True)
 class TableSpec:
     """A declared table. `partition_by` and `sort_by` are its layout: folders,
-    and the order of rows over and within files."""
+    and the order of rows over and within files. `z_by`, in their place, orders
+    rows by several columns at once, for lookups by any of them."""
 
     name: str
     columns: tuple[Column, ...]
@@ -92,6 +93,11 @@ class TableSpec:
     foreign_keys: tuple[ForeignKey, ...] = field(default=())
     partition_by: tuple[str, ...] = ()
     sort_by: tuple[str, ...] = ()
+    z_by: tuple[str, ...] = ()
+
+    def __post_init__(self) -> None:
+        if self.z_by and (self.sort_by or self.partition_by):
+            raise ValueError(f"{self.name} declares two layouts")
 
     @property
     def schema(self) -> T.StructType:

@@ -86,3 +86,21 @@ def test_a_collation_is_honoured_by_order_keys_and_joins(spark, folder):
 def test_only_texts_have_a_collation():
     with pytest.raises(ValueError):
         Column("id", T.LongType(), collation="UTF8_LCASE")
+
+
+def test_a_table_may_declare_an_order_by_several_columns(spark, folder):
+    from espalier.sources.append import append_checked
+    from espalier.sources.publish import publish, read_published
+
+    spec = TableSpec("t", (Column("a", T.LongType(), required=True), Column("b", T.LongType())), primary_key=("a",), z_by=("a", "b"))
+    df = spark.range(500).select(F.col("id").alias("a"), (F.col("id") * 7 % 100).alias("b"))
+    assert append_checked(df.filter("a < 300"), spec, folder + "/t").committed
+    assert append_checked(df.filter("a >= 300"), spec, folder + "/t").committed
+    assert not append_checked(df.filter("a = 7"), spec, folder + "/t").committed
+    assert rows(scan(spark, folder + "/t", spec)) == rows(df)
+    done = publish(spark, {"t": df.unionByName(spark.createDataFrame([(None, 1)], "a long, b long"))}, [spec], folder + "/p")
+    assert not done.committed and {(r.constraint, r.kind): r.n_violations for r in done.audit.collect()} == {("a", "not_null"): 1, ("a", "primary_key"): 1}
+    assert publish(spark, {"t": df}, [spec], folder + "/p").committed
+    assert rows(read_published(spark, folder + "/p", spec)) == rows(df)
+    with pytest.raises(ValueError):
+        TableSpec("t", spec.columns, z_by=("a", "b"), sort_by=("a",))
