@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Collection, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from espalier.functions.once import with_once
@@ -52,7 +52,8 @@ def pattern_search(df: DataFrame, column: str, pattern: str) -> DataFrame:
 
 def trigram_index(df: DataFrame, key: str, column: str) -> DataFrame:
     """One posting per trigram and row: `trigram, key, set_size`."""
-    sets = df.select(F.col(f"`{key}`").alias(key), trigrams(F.col(f"`{column}`")).alias("__set"))
+    titles = df.select(F.col(f"`{key}`").alias(key), F.col(f"`{column}`").alias("__title"))
+    sets = with_once(titles, __set=trigrams(F.col("__title")))
     return sets.select(F.explode("__set").alias("trigram"), key, F.size("__set").alias("set_size"))
 
 
@@ -210,6 +211,10 @@ class TitleIndex:
     `read` is an index like that of `trigram_index`, for every search above. A run
     is stored like `write_index` does, so a search reads its own trigrams only,
     of all runs. `compact` merges them; `apply` does it now and then.
+
+    Signs are summed over sorted postings, which a task can spill. Nearly every
+    posting is a group of its own, so a hash table of groups would hold all
+    postings that a task has read.
     """
 
     spark: SparkSession
@@ -235,7 +240,7 @@ class TitleIndex:
         signed = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         number, runs = self.log.newest()
         run = self.log.fresh(number + 1)
-        write_index(self._summed(signed), self.key, run)
+        self._stored(signed).write.parquet(run)
         runs = [*runs, run]
         if len(runs) > self.most_runs:
             runs = [self._merged(number + 1, runs)]
@@ -259,8 +264,16 @@ class TitleIndex:
         return (stored if len(runs) == 1 else self._summed(stored)).filter("sign > 0")
 
     def _summed(self, signed: DataFrame) -> DataFrame:
-        sums = signed.groupBy("trigram", self.key, "set_size").agg(F.sum("sign").cast("long").alias("sign"))
-        return sums.filter("sign <> 0")
+        postings = Window.partitionBy("trigram", F.col(f"`{self.key}`"), "set_size").orderBy("sign")
+        whole = postings.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        sums = signed.withColumns({"sign": F.sum("sign").over(whole).cast("long"), "__place": F.row_number().over(postings)})
+        return sums.filter("__place = 1 and sign <> 0").drop("__place")
+
+    def _stored(self, signed: DataFrame) -> DataFrame:
+        """A run as it is written, in the layout of `write_index`. Its ranges hold every posting whole, so it is
+        summed within them, and the sort for that is the sort of the files."""
+        order = [F.col("trigram"), F.col(f"`{self.key}`")]
+        return self._summed(signed.repartitionByRange(*order)).sortWithinPartitions(*order)
 
     def _merged(self, number: int, runs: Sequence[str]) -> str:
         run = self.log.fresh(number)

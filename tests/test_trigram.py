@@ -169,6 +169,36 @@ def test_a_search_reads_its_own_trigrams_of_every_run(spark, folder):
     assert "EqualTo(trigram,red)" in plan
 
 
+def test_upkeep_keeps_no_table_of_postings(spark, folder):
+    """Nearly every posting is a group of its own: in a hash table of groups a task would hold all that it has read."""
+    index = TitleIndex(spark, folder, "id", "title")
+    titles = spark.createDataFrame([(1, "red widget"), (2, "blue bolt")], "id long, title string")
+    for batch in ("a", "b"):
+        index.apply(batch, titles)
+    postings = trigram_index(titles, "id", "title")
+    for signs in (F.lit(1), F.col("id")):
+        plan = index._stored(postings.withColumn("sign", signs))._jdf.queryExecution().executedPlan().toString()
+        assert "Aggregate" not in plan and plan.count("Exchange") == plan.count("Sort ") == 1
+    assert "Aggregate" not in index.read()._jdf.queryExecution().executedPlan().toString()
+
+
+def test_runs_sum_repeated_and_missing_keys(spark, folder):
+    """Rows that repeat a key, or have none, count by posting, in a batch and over batches."""
+    index, counts = TitleIndex(spark, folder, "id", "title"), {}
+    old = [(1, "red bolt"), (1, "red bolt"), (1, "red nut"), (None, "bolt"), (None, "bolt"), (None, "nuts"), (2, None), (3, ""), (4, "nut")]
+    batches = [(old, []), ([(4, "cut"), (1, "red bolt")], [(4, "nut"), (1, "red bolt"), (None, "bolt")]), ([], [(1, "red bolt"), (None, "nuts"), (5, "gone")])]
+    for batch, (new, gone) in enumerate(batches):
+        index.apply(str(batch), *[spark.createDataFrame(side, "id long, title string") for side in (new, gone)])
+        for sign, side in ((1, new), (-1, gone)):
+            for i, title in side:
+                for t in plain(title or ""):
+                    posting = (t, i, len(plain(title)))
+                    counts[posting] = counts.get(posting, 0) + sign
+        assert rows(index.read().select("trigram", "id", "set_size")) == sorted((p for p, n in counts.items() if n > 0), key=repr)
+    index.compact()
+    assert rows(index.read().select("trigram", "id", "set_size")) == sorted((p for p, n in counts.items() if n > 0), key=repr)
+
+
 # --- similarity join -----------------------------------------------------
 
 
