@@ -277,5 +277,5 @@ class TitleIndex:
 
     def _merged(self, number: int, runs: Sequence[str]) -> str:
         run = self.log.fresh(number)
-        write_index(self._live(runs), self.key, run)
+        self._stored(self.spark.read.parquet(*runs)).filter("sign > 0").write.parquet(run)
         return run

@@ -182,6 +182,25 @@ def test_upkeep_keeps_no_table_of_postings(spark, folder):
     assert "Aggregate" not in index.read()._jdf.queryExecution().executedPlan().toString()
 
 
+def test_compaction_sums_runs_where_they_are_written(spark, folder, monkeypatch):
+    """Runs meet in the exchange that lays the merged one out, and in no other."""
+    index, plans, stored = TitleIndex(spark, folder, "id", "title"), [], TitleIndex._stored
+    titles = spark.createDataFrame([(1, "red widget"), (2, "blue bolt")], "id long, title string")
+    index.apply("a", titles)
+    index.apply("b", removed=titles.filter("id = 2"))
+
+    def seen(self, signed):
+        run = stored(self, signed)
+        plans.append(run._jdf.queryExecution().executedPlan().toString())
+        return run
+
+    monkeypatch.setattr(TitleIndex, "_stored", seen)
+    index.compact()
+    (plan,) = plans
+    assert "Aggregate" not in plan and plan.count("Exchange") == plan.count("Sort ") == 1
+    assert {r.id for r in index.read().collect()} == {1}
+
+
 def test_runs_sum_repeated_and_missing_keys(spark, folder):
     """Rows that repeat a key, or have none, count by posting, in a batch and over batches."""
     index, counts = TitleIndex(spark, folder, "id", "title"), {}
